@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -28,13 +30,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise into the shared checkpoint folder and drop the lineage.
+    """Write into the shared checkpoint folder and read back: no lineage, columns pruned, sizes known.
 
-    The files are replicated by the shared file system, so a lost executor
-    costs nothing; localCheckpoint would lose the only copy.
+    The files are as safe as the shared file system, so a lost executor costs
+    nothing. They stay until ``uncut`` or the end of the Python process.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/plotweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plotweave_path = path
+    return out
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def uncut(*dfs: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once nothing will read it again."""
+    for df in dfs:
+        path = getattr(df, "_plotweave_path", None)
+        if path:
+            _remove(path, _written.pop(path, None))
+
+
+def _remove(path: str, spark: SparkSession | None) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001, S110 - the session is gone, or the folder is
+        pass
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_written.items()):
+        if spark.sparkContext._jsc is not None:
+            _remove(path, spark)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -100,18 +133,14 @@ DEVANAGARI_DIGITS = "०१२३४५६७८९"
 
 
 def clean_fid(c) -> F.Column:
-    """Clean form of a fid: letters of the prefix, then eight digits.
+    """Clean form of a fid: its letters and digits, the prefix in its own case.
 
     Case, white space, dashes and invisible characters don't count; ``govt_``
-    stays lower case, other prefixes are upper. Null, or nothing left: null.
+    is lower case, other prefixes are upper. Null, or nothing left: null.
     """
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(F.translate(c, DEVANAGARI_DIGITS, "0123456789"), "[^A-Za-z0-9_]", "")
-    head = F.regexp_extract(s, "^([A-Za-z_]*)", 1)
-    digits = F.regexp_extract(s, "^[A-Za-z_]*([0-9]*)$", 1)
-    head = F.when(F.lower(head).startswith("govt"), F.lit("govt_")).otherwise(F.upper(head))
-    full = F.when(digits != "", F.concat(head, F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits))).otherwise(s)
-    return F.when(full != "", full)
+    s = F.upper(F.regexp_replace(F.translate(c, DEVANAGARI_DIGITS, "0123456789"), "[^A-Za-z0-9_]", ""))
+    return F.nullif(F.regexp_replace(s, "^GOVT_?", "govt_"), F.lit(""))
 
 
 GEOM = T.StructType(

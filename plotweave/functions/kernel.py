@@ -20,15 +20,34 @@ from pyspark.sql import functions as F, types as T
 CHUNK = 400_000
 
 
-def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat edge values (n, 4), and start and length of each row's edges."""
+def unpack(col: pa.Array, ox: pa.Array, oy: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (n, 4) of packed outlines, and start and number of each row's edges."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    off = col.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    n = np.diff(off) // 4
+    ox, oy = np.asarray(ox, dtype=float), np.asarray(oy, dtype=float)
+    off = col.offsets.to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    lo, hi = off[0] * 2, off[-1] * 2
+    p = np.asarray(col.values[lo:hi], dtype=np.float64).reshape(-1, 2)
+    off -= off[0]
+    rows = len(col)
+    size = np.diff(off)
     if col.null_count:
-        n = np.where(np.asarray(col.is_null()), 0, n)
-    return np.asarray(col.values, dtype=np.float64).reshape(-1, 4) if len(col.values) % 4 == 0 else np.empty((0, 4)), off[:-1] // 4, n
+        size = np.where(np.asarray(col.is_null()), 0, size)
+    row = np.repeat(np.arange(rows), np.diff(off))
+    end = np.isnan(p[:, 0])
+    real = ~end
+    # the point after a ring's last one is its first
+    ring = np.cumsum(end) - end
+    first = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1]) if end.any() else np.zeros(1, int)
+    nxt = np.arange(1, len(p) + 1)
+    last = real & np.concatenate([end[1:], [True]])
+    nxt[last] = first[ring[last]]
+    nxt = nxt[real]
+    o = np.column_stack([ox[row], oy[row]])
+    q = p + o if len(p) else p
+    n = np.bincount(row[real], minlength=rows)[:rows] if len(p) else np.zeros(rows, int)
+    n = np.where(size > 0, n, 0)
+    return np.concatenate([q[real], q[nxt]], axis=1) if len(p) else np.empty((0, 4)), np.cumsum(n) - n, n
 
 
 def overlap_areas(ea: np.ndarray, sa: np.ndarray, na: np.ndarray, eb: np.ndarray, sb: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -70,13 +89,18 @@ def overlap_areas(ea: np.ndarray, sa: np.ndarray, na: np.ndarray, eb: np.ndarray
 
 
 @F.arrow_udf(T.DoubleType())
-def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Overlap area of two flat edge lists (see geometry.flat); 0 if either is null or empty."""
-    ea, sa, na = _lists(a)
-    eb, sb, nb = _lists(b)
+def _overlap_area(a: pa.Array, ax: pa.Array, ay: pa.Array, b: pa.Array, bx: pa.Array, by: pa.Array) -> pa.Array:
+    ea, sa, na = unpack(a, ax, ay)
+    eb, sb, nb = unpack(b, bx, by)
     return pa.array(overlap_areas(ea, sa, na, eb, sb, nb), pa.float64())
 
 
+def overlap_area(a: str, abox: str, b: str, bbox: str):
+    """Overlap area of two packed outlines (see geometry.packed); 0 if either is null or empty."""
+    corner = lambda c: (F.coalesce(F.col(f"{c}.xmin"), F.lit(0.0)), F.coalesce(F.col(f"{c}.ymin"), F.lit(0.0)))
+    return _overlap_area(a, *corner(abox), b, *corner(bbox))
+
+
 # ---------------------------------------------------------------- triangles
 
 
@@ -87,23 +111,21 @@ def _area2(p: np.ndarray) -> float:
 
 def tidy_ring(points) -> np.ndarray:
     """Ring without null, repeated, closing and collinear points; counter-clockwise; empty if degenerate."""
-    p = np.array([(q["x"], q["y"]) for q in points if q is not None and q["x"] is not None and q["y"] is not None], dtype=float).reshape(-1, 2)
-    p = p[~np.isnan(p).any(axis=1)]
-    while True:
-        n = len(p)
-        if n < 3:
-            return np.empty((0, 2))
-        before, after = np.roll(p, 1, axis=0), np.roll(p, -1, axis=0)
-        turn = (p[:, 0] - before[:, 0]) * (after[:, 1] - p[:, 1]) - (p[:, 1] - before[:, 1]) * (after[:, 0] - p[:, 0])
-        same = (p == after).all(axis=1)
-        if same.any():
-            p = p[~same]
-            continue
-        flat = np.flatnonzero(np.abs(turn) < 1e-9)
-        if len(flat) == 0:
-            break
-        p = np.delete(p, flat[0], axis=0)
-    return p[::-1] if _area2(p) < 0 else p
+    p = [(q["x"], q["y"]) for q in points if q is not None and q["x"] is not None and q["y"] is not None]
+    p = [q for q in p if q[0] == q[0] and q[1] == q[1]]
+    i = 0
+    # a ring is short: plain floats beat arrays here
+    while len(p) >= 3 and i < len(p):
+        (ax, ay), (bx, by), (cx, cy) = p[i - 1], p[i], p[(i + 1) % len(p)]
+        if abs((bx - ax) * (cy - by) - (by - ay) * (cx - bx)) < 1e-9:
+            del p[i]
+            i = max(0, i - 2)
+        else:
+            i += 1
+    if len(p) < 3:
+        return np.empty((0, 2))
+    ring = np.array(p, dtype=float)
+    return ring[::-1] if _area2(ring) < 0 else ring
 
 
 def _bridge(outer: np.ndarray, holes: list[np.ndarray]) -> np.ndarray:
@@ -135,6 +157,12 @@ def _bridge(outer: np.ndarray, holes: list[np.ndarray]) -> np.ndarray:
     return np.array(ring)
 
 
+def _turns(p: list) -> int:
+    """Times a ring of left turns only winds around: changes from falling to rising x."""
+    rise = [p[i][0] > p[i - 1][0] or (p[i][0] == p[i - 1][0] and p[i][1] < p[i - 1][1]) for i in range(len(p))]
+    return sum(r and not q for q, r in zip([rise[-1], *rise[:-1]], rise, strict=True))
+
+
 def ear_clip(ring: np.ndarray) -> np.ndarray:
     """Triangles (n, 3, 2) of a simple counter-clockwise ring; their areas add up to its own."""
     p = [tuple(v) for v in ring]
@@ -143,6 +171,8 @@ def ear_clip(ring: np.ndarray) -> np.ndarray:
     def cross(a, b, c) -> float:
         return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
+    if all(cross(p[i - 2], p[i - 1], p[i]) > 0 for i in range(len(p))) and _turns(p) == 1:
+        return np.array([(p[0], p[i], p[i + 1]) for i in range(1, len(p) - 1)], dtype=float).reshape(-1, 3, 2)
     while len(p) > 3:
         n = len(p)
         for i in range(n):

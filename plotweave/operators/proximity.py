@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..common import clean_fid
 from ..functions import crs, geometry as g
-from .snapshots import current_rows
+from .snapshots import identified
 from .spatial import near_pairs, points_in_regions, region_overlaps
 
 REACH = 25.0
@@ -51,10 +51,16 @@ def regions(layer: DataFrame) -> DataFrame:
 
 
 def encroachments(buildings: DataFrame, govt: DataFrame, least_area: float = LEAST_ENCROACHMENT) -> DataFrame:
-    """``fid, epoch, region, area``: current outlines that overlap public land by ``least_area`` or more."""
-    rows = current_rows(buildings).withColumn("edges", g.edges("geom"))
-    rows = rows.select("fid", "epoch", g.flat("edges").alias("flat"), g.edges_bbox("edges").alias("bbox"))
-    return region_overlaps(rows, regions(govt), ["fid", "epoch"], least_area)
+    """``fid, epoch, region, area``: current outlines that overlap public land by ``least_area`` or more.
+
+    Every delivered outline is tested, as few come near public land; only the
+    hits are then held against the narrow list of each fid's current delivery.
+    """
+    rows = identified(buildings)
+    o = rows.withColumn("edges", g.edges("geom")).select("fid", "epoch", F.to_json("turn").alias("t"), g.packed("edges", g.edges_bbox("edges")).alias("pack"), g.edges_bbox("edges").alias("bbox"))
+    hits = region_overlaps(o, regions(govt), ["fid", "epoch", "t"], least_area)
+    now = rows.groupBy("fid", "epoch").agg(F.to_json(F.max("turn")).alias("t"))
+    return now.join(hits, ["fid", "epoch", "t"]).select("fid", "epoch", "region", "area")
 
 
 def relations(points: DataFrame, parcels: DataFrame, govt: DataFrame, buildings: DataFrame) -> DataFrame:

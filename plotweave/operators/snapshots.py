@@ -31,32 +31,34 @@ def epochs(df: DataFrame, col: str = "epoch") -> list[str]:
     return sorted((r["e"] for r in rows), key=key)
 
 
+def identified(buildings: DataFrame) -> DataFrame:
+    """Rows with clean fid and epoch, and ``turn``, by which the current row of both is chosen.
+
+    Rows without fid or epoch have no identity and are left out.
+    """
+    turn = F.struct("loaded_at", F.xxhash64("geom", "height_m").alias("h"))
+    rows = buildings.select(clean_fid("fid").alias("fid"), F.lower(F.trim("epoch")).alias("epoch"), "geom", "height_m", turn.alias("turn"))
+    return rows.filter(F.col("fid").isNotNull() & F.col("epoch").isNotNull() & (F.col("epoch") != ""))
+
+
 def current_rows(buildings: DataFrame) -> DataFrame:
     """The row of each fid and snapshot with the latest loaded_at.
 
-    Of equal times the greatest row counts, so repeated rows collapse and the
-    choice never depends on order. A null time is earlier than any. Rows without
-    fid or epoch have no identity and are left out.
+    Of equal times the row with the greatest hash counts, so repeated rows
+    collapse and the choice never depends on order. A null time is earlier than any.
     """
-    row = F.struct("loaded_at", "geom", "height_m")
-    return (
-        buildings.withColumn("fid", clean_fid("fid"))
-        .withColumn("epoch", F.lower(F.trim(F.col("epoch"))))
-        .filter(F.col("fid").isNotNull() & F.col("epoch").isNotNull() & (F.col("epoch") != ""))
-        .groupBy("fid", "epoch")
-        .agg(F.max(row).alias("r"))
-        .select("fid", "epoch", F.col("r.geom").alias("geom"), F.col("r.height_m").alias("height_m"))
-    )
+    rows = identified(buildings).groupBy("fid", "epoch").agg(F.max_by(F.struct("geom", "height_m"), "turn").alias("r"))
+    return rows.select("fid", "epoch", F.col("r.geom").alias("geom"), F.col("r.height_m").alias("height_m"))
 
 
 def outline_states(buildings: DataFrame, order: list[str]) -> DataFrame:
-    """Distinct outlines of each snapshot: ``id, no, fid, flat, area, bbox``; members keep their outline's id."""
+    """Distinct outlines of each snapshot: ``id, no, fid, pack, area, bbox``; members keep their outline's id."""
     no = F.coalesce(*[F.when(F.col("epoch") == e, F.lit(i)) for i, e in enumerate(order)]) if order else F.lit(0)
     rows = current_rows(buildings).withColumn("no", no)
-    rows = rows.withColumn("edges", g.edges("geom")).withColumn("flat", g.flat("edges"))
-    rows = rows.withColumn("area", g.edges_area("edges")).withColumn("bbox", g.edges_bbox("edges"))
+    rows = rows.withColumn("edges", g.edges("geom")).withColumn("bbox", g.edges_bbox("edges"))
+    rows = rows.withColumn("area", g.edges_area("edges")).withColumn("pack", g.packed("edges", "bbox"))
     # copies of an outline within a snapshot pair as one; rows without outline stand alone
-    shape = F.when(F.size("flat") > 0, F.xxhash64("flat")).otherwise(F.xxhash64("fid"))
+    shape = F.when(F.size("pack") > 0, F.xxhash64("pack", "bbox")).otherwise(F.xxhash64("fid"))
     first = F.min("fid").over(W.partitionBy("no", shape))
     return rows.withColumn("id", F.concat_ws("|", F.col("no").cast("string"), first)).drop("edges", "geom")
 
@@ -66,15 +68,15 @@ def links(outlines: DataFrame) -> DataFrame:
 
     ``primary`` marks the one later outline that carries the earlier one's key on.
     """
-    o = outlines.select("id", "no", "flat", "area", "bbox")
+    o = outlines.select("id", "no", "pack", "area", "bbox")
     later = o.withColumn("pno", F.col("no") - 1).drop("no")
-    earlier = o.select(F.col("id").alias("prev"), F.col("no").alias("pno"), F.col("flat").alias("pflat"), F.col("area").alias("parea"), "bbox")
+    earlier = o.select(F.col("id").alias("prev"), F.col("no").alias("pno"), F.col("pack").alias("ppack"), F.col("area").alias("parea"), "bbox")
     pairs = grid_pairs(later, earlier, CELL, keys=("pno",))
     # the boxes alone bound the overlap, so most neighbours never reach the kernel
     side = lambda lo, hi: F.least(f"bbox.{hi}", f"rbox.{hi}") - F.greatest(f"bbox.{lo}", f"rbox.{lo}")
     bound = F.least(side("xmin", "xmax") * side("ymin", "ymax"), "area", "parea")
     pairs = pairs.filter(bound >= SAME_IOU / (1 + SAME_IOU) * (F.col("area") + F.col("parea")) - 1e-6)
-    scored = pairs.withColumn("iou", g.iou(overlap_area("flat", "pflat"), "area", "parea")).filter(F.col("iou") >= SAME_IOU)
+    scored = pairs.withColumn("iou", g.iou(overlap_area("pack", "bbox", "ppack", "rbox"), "area", "parea")).filter(F.col("iou") >= SAME_IOU)
     best = scored.groupBy("id").agg(F.max(F.struct("iou", F.col("prev"))).alias("b"), F.collect_set("prev").alias("claims"))
     best = best.select("id", "b.prev", "b.iou", "claims")
     return best.withColumn("primary", F.row_number().over(W.partitionBy("prev").orderBy(F.desc("iou"), "id")) == 1)
@@ -96,7 +98,7 @@ def intervals(buildings: DataFrame) -> tuple[DataFrame, list[str]]:
     """
     order = epochs(buildings)
     rows = cut(outline_states(buildings, order))
-    outlines = rows.groupBy("id").agg(F.first("no").alias("no"), F.first("flat").alias("flat"), F.first("area").alias("area"), F.first("bbox").alias("bbox"))
+    outlines = rows.groupBy("id").agg(F.first("no").alias("no"), F.first("pack").alias("pack"), F.first("area").alias("area"), F.first("bbox").alias("bbox"))
     link = cut(links(outlines))
     keys = structure_keys(outlines, link, len(order))
     claimed = link.select(F.explode("claims").alias("id")).distinct().withColumn("claimed", F.lit(True))

@@ -180,14 +180,14 @@ def volume_tree(tri: DataFrame, leaf_triangles: int = LEAF_TRIANGLES) -> tuple[V
     """
     n = tri.count()
     x, y = (F.col("ax") + F.col("bx") + F.col("cx")) / 3, (F.col("ay") + F.col("by") + F.col("cy")) / 3
-    rows = tri.select(x.alias("x"), y.alias("y")).orderBy(F.xxhash64("x", "y")).limit(TREE_SAMPLE).toPandas()
-    tree = VolumeTree(rows[["x", "y"]].to_numpy(float).reshape(-1, 2), min(MAX_LEAVES, -(-n // leaf_triangles)))
+    rows = tri.select(x.alias("x"), y.alias("y")).orderBy(F.xxhash64("x", "y")).limit(TREE_SAMPLE).collect()
+    tree = VolumeTree(np.array(rows, dtype=float).reshape(-1, 2), min(MAX_LEAVES, -(-n // leaf_triangles)))
     tri = tree.placed(tri, x, y)
     lo = lambda a: F.min(F.least(f"a{a}", f"b{a}", f"c{a}"))
     hi = lambda a: F.max(F.greatest(f"a{a}", f"b{a}", f"c{a}"))
-    boxes = tri.groupBy("leaf").agg(lo("x").alias("x0"), lo("y").alias("y0"), hi("x").alias("x1"), hi("y").alias("y1")).orderBy("leaf").toPandas()
-    tree.names = boxes["leaf"].to_numpy(int)
-    tree.volumes = kernel.Boxes(boxes[["x0", "y0", "x1", "y1"]].to_numpy(float).reshape(-1, 4))
+    boxes = tri.groupBy("leaf").agg(lo("x").alias("x0"), lo("y").alias("y0"), hi("x").alias("x1"), hi("y").alias("y1")).orderBy("leaf").collect()
+    boxes = np.array(boxes, dtype=float).reshape(-1, 5)
+    tree.names, tree.volumes = boxes[:, 0].astype(int), kernel.Boxes(boxes[:, 1:])
     return tree, tri
 
 
@@ -233,13 +233,13 @@ def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
 def region_overlaps(outlines: DataFrame, regions: DataFrame, keys: list[str], least_area: float) -> DataFrame:
     """``keys + (region, area)``: overlap of each outline with each region, from ``least_area`` on.
 
-    ``outlines`` has ``keys``, ``flat`` (edge list) and ``bbox``. An outline is
+    ``outlines`` has ``keys``, which identify one, ``pack`` and ``bbox``. An outline is
     tested against the region's triangles of the leaves its box meets; triangles
     of a region don't overlap, so their overlaps add up.
     """
     tree, tri = volume_tree(cut(triangulate(regions)))
-    b = outlines.filter(F.col("bbox").isNotNull()).select(*keys, "flat", "bbox.*")
-    b = cut(tree.reached(b, tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))))
+    b = outlines.filter(F.col("bbox").isNotNull()).select(*keys, "pack", "bbox.*")
+    b = cut(tree.reached(b, tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).dropDuplicates([*keys, "leaf"]))
     b, t, on = salted_pair(b, tri, ["leaf"])
     schema = ", ".join(f"{k} string" for k in keys) + ", region string, area double"
 
@@ -247,7 +247,7 @@ def region_overlaps(outlines: DataFrame, regions: DataFrame, keys: list[str], le
         tri, boxes = _tri_arrays(right)
         own = np.column_stack([np.asarray(left.column(c), dtype=float) for c in ("xmin", "ymin", "xmax", "ymax")]).reshape(-1, 4)
         q, b = kernel.Boxes(boxes).hits(own)
-        ea, sa, na = kernel._lists(left.column("flat"))
+        ea, sa, na = kernel.unpack(left.column("pack"), left.column("xmin"), left.column("ymin"))
         nxt = np.roll(tri, -1, axis=1)
         eb = np.concatenate([tri, nxt], axis=2).reshape(-1, 4)
         area = kernel.overlap_areas(ea, sa[q], na[q], eb, b * 3, np.full(len(b), 3))
