@@ -96,10 +96,15 @@ def salted_pair(many: DataFrame, other: DataFrame, keys: list[str], rows: int =
 
     Every row of ``many`` keeps exactly one salt, so an equi-join on the
     returned keys gives the same pairs as one on ``keys``. Nothing is dropped.
+    Without hot keys, which one narrow count tells, both come back as they are.
     """
-    hot = hot_keys(many, keys, rows)
+    hot = cut(hot_keys(many, keys, rows))
+    if hot.isEmpty():
+        uncut(hot)
+        return many, other, keys
+    hot = broadcast_if_small(hot)
     a = many.join(hot, keys, "left").withColumn(
-        "__salt", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.floor(F.rand(7) * F.col("__salts")).cast("int"))
+        "__salt", F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("__salts")).cast("int"))
     )
     b = other.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0)))))
     return a.drop("__salts"), b.drop("__salts"), [*keys, "__salt"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from ..common import ceil_log2, clean_fid, cut
+from ..common import broadcast_if_small, ceil_log2, clean_fid, cut
 from ..functions import geometry as g
 from ..functions.kernel import overlap_area
 from .spatial import grid_pairs
@@ -20,7 +20,7 @@ SAME_IOU = 0.55
 #: Square metres and metres from which a difference counts.
 LEAST_AREA, LEAST_RISE = 8.0, 2.6
 #: Grid cell in metres, about twice a structure's width.
-CELL = 32.0
+CELL = 48.0
 
 
 def epochs(df: DataFrame, col: str = "epoch") -> list[str]:
@@ -42,25 +42,26 @@ def identified(buildings: DataFrame) -> DataFrame:
 
 
 def current_rows(buildings: DataFrame) -> DataFrame:
-    """The row of each fid and snapshot with the latest loaded_at.
+    """``fid, epoch, height_m, area, bbox, pack``: the row of each fid and snapshot with the latest loaded_at.
 
     Of equal times the row with the greatest hash counts, so repeated rows
-    collapse and the choice never depends on order. A null time is earlier than any.
+    collapse and the choice never depends on order. A null time is earlier than
+    any. Outlines are packed before the shuffle.
     """
-    rows = identified(buildings).groupBy("fid", "epoch").agg(F.max_by(F.struct("geom", "height_m"), "turn").alias("r"))
-    return rows.select("fid", "epoch", F.col("r.geom").alias("geom"), F.col("r.height_m").alias("height_m"))
+    rows = identified(buildings).withColumn("edges", g.edges("geom")).withColumn("bbox", g.edges_bbox("edges"))
+    rows = rows.select("fid", "epoch", "turn", F.struct("height_m", g.edges_area("edges").alias("area"), "bbox", g.packed("edges", "bbox").alias("pack")).alias("r"))
+    return rows.groupBy("fid", "epoch").agg(F.max_by("r", "turn").alias("r")).select("fid", "epoch", "r.*")
 
 
 def outline_states(buildings: DataFrame, order: list[str]) -> DataFrame:
-    """Distinct outlines of each snapshot: ``id, no, fid, pack, area, bbox``; members keep their outline's id."""
+    """Current rows with their snapshot's number and ``id``, which copies of an outline in a snapshot share."""
     no = F.coalesce(*[F.when(F.col("epoch") == e, F.lit(i)) for i, e in enumerate(order)]) if order else F.lit(0)
-    rows = current_rows(buildings).withColumn("no", no)
-    rows = rows.withColumn("edges", g.edges("geom")).withColumn("bbox", g.edges_bbox("edges"))
-    rows = rows.withColumn("area", g.edges_area("edges")).withColumn("pack", g.packed("edges", "bbox"))
-    # copies of an outline within a snapshot pair as one; rows without outline stand alone
     shape = F.when(F.size("pack") > 0, F.xxhash64("pack", "bbox")).otherwise(F.xxhash64("fid"))
-    first = F.min("fid").over(W.partitionBy("no", shape))
-    return rows.withColumn("id", F.concat_ws("|", F.col("no").cast("string"), first)).drop("edges", "geom")
+    rows = cut(current_rows(buildings).withColumn("no", no).withColumn("shape", shape).drop("epoch"))
+    # copies of an outline within a snapshot pair as one; they are few, so the narrow count finds them
+    copies = cut(rows.groupBy("no", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("fid").alias("first")).filter("n > 1").drop("n"))
+    rows = rows.join(broadcast_if_small(copies), ["no", "shape"], "left") if not copies.isEmpty() else rows.withColumn("first", F.lit(None).cast("string"))
+    return rows.withColumn("id", F.concat_ws("|", F.col("no").cast("string"), F.coalesce("first", "fid"))).drop("shape", "first")
 
 
 def links(outlines: DataFrame) -> DataFrame:
@@ -97,8 +98,8 @@ def intervals(buildings: DataFrame) -> tuple[DataFrame, list[str]]:
     differs from the row before by LEAST_AREA or LEAST_RISE; others extend one.
     """
     order = epochs(buildings)
-    rows = cut(outline_states(buildings, order))
-    outlines = rows.groupBy("id").agg(F.first("no").alias("no"), F.first("pack").alias("pack"), F.first("area").alias("area"), F.first("bbox").alias("bbox"))
+    rows = outline_states(buildings, order)
+    outlines = rows.filter(F.col("id") == F.concat_ws("|", F.col("no").cast("string"), "fid"))
     link = cut(links(outlines))
     keys = structure_keys(outlines, link, len(order))
     claimed = link.select(F.explode("claims").alias("id")).distinct().withColumn("claimed", F.lit(True))
