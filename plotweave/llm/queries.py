@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import groups, survivors, tokens
+from . import abuse, groups, leakage, resolution, survivors, tokens
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,5 +28,30 @@ def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_counts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_records, p8_ids, p8_tokens)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return resolution.same_land(table(spark, d, "parcels_legacy"), table(spark, d, "parcels")).select("legacy_fid", "parcel_fid")
+
+
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    return resolution.same_land(table(spark, d, "parcels_legacy"), table(spark, d, "parcels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score_documents(docs, abuse.train(docs, table(spark, d, "labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).filter("abusive").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(p10_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p4_found, p7_found, p7_records, p8_ids, p8_tokens, p9_found, p10_found, p10_scores, p10_rates)}
 ORACLE: dict[str, str] = {}
