@@ -118,8 +118,8 @@ def edges_centroid(es) -> Column:
     )
 
 
-def packed(es, bbox) -> Column:
-    """Rings of an edge list as ``ARRAY<FLOAT>``: offsets from the box's corner, NaN pairs after each ring.
+def packed(es, bbox, kind: str = "float") -> Column:
+    """Rings of an edge list as ``ARRAY<FLOAT>`` (or doubles): offsets from the box's corner, NaN pairs after each ring.
 
     An eighth of the edges' size in a shuffle; floats of offsets keep a relative
     precision of 1e-7 of the outline's own extent.
@@ -128,8 +128,8 @@ def packed(es, bbox) -> Column:
 
     def point(e: Column, i: Column) -> Column:
         nxt = F.get(es, i + 1)
-        x, y = (e.getField("x1") - bbox.getField("xmin")).cast("float"), (e.getField("y1") - bbox.getField("ymin")).cast("float")
-        nan = F.lit(float("nan")).cast("float")
+        x, y = (e.getField("x1") - bbox.getField("xmin")).cast(kind), (e.getField("y1") - bbox.getField("ymin")).cast(kind)
+        nan = F.lit(float("nan")).cast(kind)
         same = (nxt.getField("x1") == e.getField("x2")) & (nxt.getField("y1") == e.getField("y2"))
         return F.when(F.coalesce(same, F.lit(False)), F.array(x, y)).otherwise(F.array(x, y, nan, nan))
 
