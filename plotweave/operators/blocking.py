@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..common import cut
@@ -101,6 +103,34 @@ def best_match(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     return pairs.filter(F.col("iou") > least).withColumn("r", F.row_number().over(w)).filter("r = 1").select("src", "tgt", "iou")
 
 
+#: Targets up to this many travel to the tasks whole (their count is checked); more are searched by rings of cells.
+SMALL_TARGETS = 20_000
+
+
+def _nearest_small(s: DataFrame, tg: DataFrame, k: int) -> DataFrame:
+    rows = tg.orderBy("tgt").collect()
+    names = pa.array([r["tgt"] for r in rows], pa.string())
+    at = np.array([(r["tx"], r["ty"]) for r in rows], float).reshape(-1, 2)
+    m = min(k, len(rows))
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows if m else 0, 500):
+                c = b.slice(lo, 500)
+                d = np.hypot(np.asarray(c.column(1), dtype=float)[:, None] - at[:, 0], np.asarray(c.column(2), dtype=float)[:, None] - at[:, 1])
+                # every target at the k-th distance takes part, so that ties fall to the smaller name
+                last = np.partition(d, m - 1, axis=1)[:, m - 1]
+                i, j = np.nonzero(d <= last[:, None])
+                o = np.lexsort((j, d[i, j], i))
+                i, j = i[o], j[o]
+                rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+                keep = rank <= m
+                i, j, rank = i[keep], j[keep], rank[keep]
+                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(i)), names.take(pa.array(j)), pa.array(d[i, j]), pa.array(rank.astype(np.int32))], names=["src", "tgt", "dist", "rank"])
+
+    return s.mapInArrow(run, "src string, tgt string, dist double, rank int")
+
+
 def nearest(src: DataFrame, tgt: DataFrame, k: int, cell: float) -> DataFrame:
     """``src, tgt, dist, rank``: the k nearest targets of each source by centre, ties by target.
 
@@ -111,6 +141,8 @@ def nearest(src: DataFrame, tgt: DataFrame, k: int, cell: float) -> DataFrame:
     s = src.select(F.col("fid").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")).filter("sx is not null and sy is not null")
     tg = cut(tgt.select(F.col("fid").alias("tgt"), F.col("x").alias("tx"), F.col("y").alias("ty")).filter("tx is not null and ty is not null"))
     n = tg.count()
+    if n <= SMALL_TARGETS:
+        return _nearest_small(s, tg, k)
     out, open_, size = None, cut(s), cell
     while n and not open_.isEmpty():
         cells = F.explode(F.array(*[F.struct((F.floor(F.col("sx") / size) + i).alias("i"), (F.floor(F.col("sy") / size) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))

@@ -49,7 +49,7 @@ def vote(d: DataFrame) -> DataFrame:
     """``fid, field, value, share, n_keys`` of the folded value with most weight; the first one wins ties."""
     conf = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 1.0).otherwise(F.col("confidence"))
     b = d.groupBy("fid", "field", t.normalise_key("value").alias("key")).agg(F.sum(F.col("w") * conf).alias("w"), F.min(F.struct("pos", "value")).alias("first"))
-    g = b.groupBy("fid", "field").agg(F.sum("w").alias("total"), F.max(F.struct(F.col("w"), -F.col("first.pos"), F.col("first.value").alias("value"), "key")).alias("b"), F.count(F.lit(1)).alias("n_keys"), F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("weights"))
+    g = b.groupBy("fid", "field").agg(F.sum("w").alias("total"), F.max(F.struct(F.round("w", 6).alias("w"), -F.col("first.pos"), F.col("first.value").alias("value"), "key")).alias("b"), F.count(F.lit(1)).alias("n_keys"), F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("weights"))
     return g.select("fid", "field", F.col("b.value").alias("value"), F.col("b.key").alias("key"), (F.col("b.w") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0)).alias("share"), "n_keys", "weights", "total")
 
 

@@ -85,7 +85,7 @@ def links(outlines: DataFrame) -> DataFrame:
 
 def structure_keys(outlines: DataFrame, link: DataFrame, n_epochs: int) -> DataFrame:
     """``(id, key)``: the first outline of each link chain, by pointer doubling."""
-    up = outlines.select("id").distinct().join(link.filter("primary").select("id", "prev"), "id", "left").select("id", F.coalesce("prev", "id").alias("key"))
+    up = cut(outlines.select("id").join(link.filter("primary").select("id", "prev"), "id", "left").select("id", F.coalesce("prev", "id").alias("key")))
     for _ in range(ceil_log2(n_epochs)):
         up = up.join(up.select(F.col("id").alias("key"), F.col("key").alias("root")), "key").select("id", F.col("root").alias("key"))
     return up
@@ -145,10 +145,15 @@ def snapshot_changes(buildings: DataFrame) -> DataFrame:
     """
     iv, order = intervals(buildings)
     name = F.element_at(F.array(*[F.lit(e) for e in order] or [F.lit("")]), F.col("at") + 1)
-    starts = iv.filter((F.col("start_no") > 0) & F.col("kind").isNotNull()).select(
-        F.col("start_no").alias("at"), "kind", F.col("fid_first").alias("fid"), "matched_fid", "delta_sqm"
+    none = lambda t: F.lit(None).cast(t)
+    start = F.when(
+        (F.col("start_no") > 0) & F.col("kind").isNotNull(),
+        F.struct(F.col("start_no").alias("at"), F.col("kind").alias("kind"), F.col("fid_first").alias("fid"), F.col("matched_fid").alias("matched_fid"), F.col("delta_sqm").alias("delta_sqm")),
     )
-    ends = iv.filter(F.col("gone") & (F.col("end_no") < len(order) - 1)).select(
-        (F.col("end_no") + 1).alias("at"), F.lit("demolished").alias("kind"), F.col("fid_last").alias("fid"), F.lit(None).cast("string").alias("matched_fid"), (-F.col("area")).alias("delta_sqm")
+    end = F.when(
+        F.col("gone") & (F.col("end_no") < len(order) - 1),
+        F.struct((F.col("end_no") + 1).alias("at"), F.lit("demolished").alias("kind"), F.col("fid_last").alias("fid"), none("string").alias("matched_fid"), (-F.col("area")).alias("delta_sqm")),
     )
-    return starts.unionByName(ends).withColumn("epoch", name).drop("at").select("epoch", "kind", "fid", "matched_fid", "delta_sqm")
+    # both events of an interval at once: two branches would compute the intervals twice
+    ev = iv.select(F.explode(F.filter(F.array(start, end), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    return ev.withColumn("epoch", name).drop("at").select("epoch", "kind", "fid", "matched_fid", "delta_sqm")

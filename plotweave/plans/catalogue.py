@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..common import table
+from ..common import cut, table
 from ..functions import crs, geometry as g, text as t
-from ..operators import access, audit, blocking, change, georef, graph, layers, metrics, resolve, schema_match, topology
-from ..sources import readers, writers
+from ..operators import access, assign, audit, blocking, change, georef, graph, layers, matcher, metrics, proximity, resolve, schema_match, targeting, topology
+from ..sources import readers, synth, writers
 from ..streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,7 +374,7 @@ def claim_fusion(spark, d):
     return resolve.numeric_fusion(order_claims(spark, d, "area", "l_quantity")).select("fid", "k", r6("fused", "fused"), r6("sigma", "sigma"), r6("agreement", "agreement", 4))
 
 
-@query(CLAIMS_SQL + ", b AS (SELECT fid, lower(x) AS key, sum(w) AS w, min(pos) AS p, arg_min(x,pos) AS value FROM c GROUP BY fid, lower(x)), r AS (SELECT *, sum(w) OVER (PARTITION BY fid) AS total, count(*) OVER (PARTITION BY fid) AS n_keys, row_number() OVER (PARTITION BY fid ORDER BY w DESC, p) AS r FROM b) SELECT fid, value, round(w/total,6) AS share, n_keys FROM r WHERE r=1")
+@query(CLAIMS_SQL + ", b AS (SELECT fid, lower(x) AS key, sum(w) AS w, min(pos) AS p, arg_min(x,pos) AS value FROM c GROUP BY fid, lower(x)), r AS (SELECT *, sum(w) OVER (PARTITION BY fid) AS total, count(*) OVER (PARTITION BY fid) AS n_keys, row_number() OVER (PARTITION BY fid ORDER BY round(w,6) DESC, p) AS r FROM b) SELECT fid, value, round(w/total,6) AS share, n_keys FROM r WHERE r=1")
 def claim_vote(spark, d):
     return resolve.vote(order_claims(spark, d, "land_use", "l_returnflag")).select("fid", "value", r6("share", "share"), "n_keys")
 
@@ -529,3 +530,100 @@ def event_windows(spark, d):
   SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""")
 def event_sessions(spark, d):
     return windows.sessions(table(spark, d, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# ------------------------------------- models and algorithms without SQL
+
+CITY = synth.CityConfig(blocks_x=3, blocks_y=3, govt_every=8)
+
+
+def city(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Parcels, buildings, public land and the damaged twin of the seeded test city."""
+    c = cut(synth.generate_city(spark, CITY))
+    parcels = c.filter("layer = 'parcels'")
+    return parcels, c.filter("layer = 'buildings'"), c.filter("layer = 'govt_land'"), cut(synth.corrupt_cadastre(parcels))
+
+
+@query()
+def city_layers(spark, d):
+    return synth.generate_city(spark, CITY).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def coarse_alignment(spark, d):
+    """Similarity of the whole legacy layer onto the parcels, and the median distance before and after."""
+    a = georef.centres(table(spark, d, "parcels_legacy").dropDuplicates(["fid"]).filter("geom is not null"))
+    b = georef.centres(table(spark, d, "parcels").dropDuplicates(["fid"]))
+    m = georef.coarse_align(a, b, max_shift=30.0, rounds=4)
+    return spark.createDataFrame([(m.a, m.b, m.tx, m.ty, m.scale, m.rotation_deg)], "a double, b double, tx double, ty double, scale double, rotation_deg double")
+
+
+def city_pairs(spark) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    parcels, _, _, legacy = city(spark)
+    m = georef.coarse_align(georef.centres(legacy), georef.centres(parcels), rounds=4)
+    x = lambda a, b: m.apply(a, b)
+    moved = legacy.withColumn("geom", g.map_points("geom", lambda a, b: x(a, b)[0], lambda a, b: x(a, b)[1]))
+    src = cut(blocking.described(moved, {"khasra": "KHSRA_NUM", "owner": "KHATEDAR_NM", "area": "AREA_BIGHA", "land_use": "LU_CODE", "tenure": "TENURE_TYP", "ward": "WARD", "ulpin": "PARCEL_UID"}))
+    tgt = cut(blocking.described(parcels, {"khasra": "khasra_no", "owner": "owner_name", "land_use": "land_use", "tenure": "tenure", "ward": "ward_no", "ulpin": "ulpin"}))
+    f = blocking.pair_features(blocking.block(src, tgt), src, tgt, 2529.285)
+    truth = legacy.select(F.col("fid").alias("src"), F.explode("truth_fids").alias("tgt")).withColumn("y", F.lit(1))
+    return cut(f.join(truth, ["src", "tgt"], "left").na.fill(0, ["y"])), src, tgt, legacy
+
+
+@query()
+def pair_features29(spark, d):
+    return city_pairs(spark)[0]
+
+
+@query()
+def gbdt_match(spark, d):
+    """Held-out precision, recall and F1 of the trained matcher on the test city."""
+    p = matcher.group_split(city_pairs(spark)[0], "src")
+    m = matcher.PairMatcher(rounds=20, params={"maxDepth": 4}).fit(p.filter("not held"))
+    return metrics.classification_report(m.predict(p.filter("held")).select("y", F.col("prob").alias("p"), F.concat_ws("|", "src", "tgt").alias("id")))
+
+
+@query()
+def global_assignment(spark, d):
+    p, src, tgt, _ = city_pairs(spark)
+    prob = 1 / (1 + F.exp(-12 * (F.greatest("src_frac_in_tgt", "tgt_frac_in_src") - 0.5)))
+    scored_pairs = p.select("src", "tgt", prob.alias("prob"), (F.col("src_frac_in_tgt")).alias("f")).join(src.select(F.col("fid").alias("src"), "area"), "src").withColumn("inter", F.col("f") * F.col("area")).drop("f", "area")
+    return assign.assign_matches(scored_pairs, src, tgt).drop("comp", "siblings")
+
+
+@query()
+def topology_clean(spark, d):
+    legacy = city(spark)[3].select("fid", "geom")
+    return topology.area_ledger(legacy, topology.clean_layer(legacy))
+
+
+@query()
+def topology_diagnosis(spark, d):
+    return topology.diagnose(city(spark)[3].select("fid", "geom"))
+
+
+@query()
+def gp_posterior(spark, d):
+    """Posterior spread at every survey position given the first points of the plan."""
+    pts = proximity.survey_positions(table(spark, d, "survey_points")).select("x", "y")
+    at = targeting.sampled(pts, 20)
+    obs = np.array(at.collect(), float).reshape(-1, 2)
+    return targeting.Uncertainty(297.1, 12.25, 0.28).posterior(pts, obs)
+
+
+@query()
+def survey_plan(spark, d):
+    p = table(spark, d, "parcels").filter("geom is not null")
+    centres = georef.centres(p.dropDuplicates(["fid"]))
+    plan, why = targeting.plan_survey(centres, targeting.candidate_corners(p, 200), targeting.Uncertainty(297.1, 12.25, 0.28), k=8)
+    cols = ["rank", "x", "y", "marginal_gain", "rmse_before", "rmse_after", "rmse_delta"]
+    return spark.createDataFrame([tuple(r[c] for c in cols) + (r["reason"], why) for r in plan], "rank int, x double, y double, marginal_gain double, rmse_before double, rmse_after double, rmse_delta double, reason string, stopped string")
+
+
+@query()
+def epoch_recovery(spark, d):
+    """Injected against detected changes of the test city's later epoch."""
+    _, b, _, _ = city(spark)
+    later = cut(synth.build_epoch(b))
+    e = change.detect_change(b, later)
+    return later.join(e.select("fid", "kind"), "fid", "left").groupBy("injected", "kind").agg(F.count(F.lit(1)).alias("n"))
