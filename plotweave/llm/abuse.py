@@ -181,9 +181,9 @@ def fit_scorer(texts: list[str], labels: list[int], chars: CharModel) -> Scorer:
     odds[pos < 2] = np.minimum(odds[pos < 2], 0)
     flat = [f for d in docs for f in d]
     of = np.array([k for d, k in zip(docs, labels, strict=True) for _ in d])
-    z = np.array([np.clip(odds[f], -1, 3).mean() for f in flat])
+    z = np.array([np.clip(odds[f], -1, 3).mean() for f in flat], dtype=float)
     target = (of == 1) & (z > 0.8)
-    w, b = np.zeros(1 << BITS), 0.0
+    w, b = np.zeros(1 << BITS), -30.0
     for _ in range(ROUNDS):
         if not target.any():
             break
@@ -198,7 +198,7 @@ def fit_scorer(texts: list[str], labels: list[int], chars: CharModel) -> Scorer:
     top = np.full(len(docs), -30.0)
     np.maximum.at(top, np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.clip(z, -30, 30))
     scores = 1 / (1 + np.exp(-top))
-    best = (-1.0, 0.5)
+    best = (0.0, 0.5)
     for t in np.arange(0.3, 0.96, 0.05):
         tp, fp, fn = ((scores >= t) & (y == 1)).sum(), ((scores >= t) & (y == 0)).sum(), ((scores < t) & (y == 1)).sum()
         best = max(best, (2 * tp / max(1, 2 * tp + fp + fn), -abs(t - 0.5), float(t)), key=lambda x: x[0])
