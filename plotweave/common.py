@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import math
 import os
 import tempfile
@@ -55,6 +56,27 @@ def uncut(*dfs: DataFrame) -> None:
             _remove(path, _written.pop(path, None))
 
 
+def finished(operator):
+    """Write an operator's result, then delete all that it wrote on its way.
+
+    For operators whose plan reads intermediate tables: without it they would
+    stay until the process ends.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        before = set(_written)
+        out = operator(*args, **kwargs)
+        if set(_written) == before:
+            return out
+        kept = cut(out)
+        for path in set(_written) - before - {kept._plotweave_path}:
+            _remove(path, _written.pop(path, None))
+        return kept
+
+    return run
+
+
 def _remove(path: str, spark: SparkSession | None) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..common import clean_fid
+from ..common import clean_fid, finished
 from ..functions import crs, geometry as g
 from .snapshots import identified
 from .spatial import near_pairs, points_in_regions, region_overlaps
@@ -63,6 +63,7 @@ def encroachments(buildings: DataFrame, govt: DataFrame, least_area: float = LEA
     return now.join(hits, ["fid", "epoch", "t"]).select("fid", "epoch", "region", "area")
 
 
+@finished
 def relations(points: DataFrame, parcels: DataFrame, govt: DataFrame, buildings: DataFrame) -> DataFrame:
     """``relation, fid_a, fid_b`` of all four relations, each row once, fid_a < fid_b."""
     pos = survey_positions(points)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from ..common import broadcast_if_small, ceil_log2, clean_fid, cut
+from ..common import broadcast_if_small, ceil_log2, clean_fid, cut, finished
 from ..functions import geometry as g
 from ..functions.kernel import overlap_area
 from .spatial import grid_pairs
@@ -134,6 +134,7 @@ def intervals(buildings: DataFrame) -> tuple[DataFrame, list[str]]:
     )
 
 
+@finished
 def snapshot_changes(buildings: DataFrame) -> DataFrame:
     """Change events ``epoch, kind, fid, matched_fid, delta_sqm`` between consecutive snapshots.
 

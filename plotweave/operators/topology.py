@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..common import GEOM, cut
 from ..functions import geometry as g, overlay as o
+from ..functions.kernel import overlap_areas
 from .blocking import pair_overlap, prepared
 from .graph import components
 from .spatial import grid_pairs
@@ -121,7 +123,9 @@ def _resolve(p: pd.DataFrame, max_gap: float) -> pd.DataFrame:
             a, b = box(sets[i]), box(sets[j])
             if not a or not b or a[0] > b[2] or b[0] > a[2] or a[1] > b[3] or b[1] > a[3]:
                 continue
-            if o.area(o.intersection(sets[i], sets[j])) <= LEAST_OVERLAP:
+            ea, eb = _edges(sets[i]), _edges(sets[j])
+            one = np.zeros(1, int)
+            if overlap_areas(ea, one, np.array([len(ea)]), eb, one, np.array([len(eb)]))[0] <= LEAST_OVERLAP:
                 continue
             keep, give = (i, j) if rank[i] >= rank[j] else (j, i)
             left = o.difference(sets[give], sets[keep])
@@ -135,7 +139,9 @@ def _resolve(p: pd.DataFrame, max_gap: float) -> pd.DataFrame:
         if size > max_gap:
             kept += 1
             continue
-        reach = [o.area(o.intersection([[q[0]] for q in _grown(s, 0.05)], hole)) if s else 0.0 for s in sets]
+        hb = box(hole)
+        close = [b is not None and b[0] <= hb[2] + 0.1 and b[2] >= hb[0] - 0.1 and b[1] <= hb[3] + 0.1 and b[3] >= hb[1] - 0.1 for b in map(box, sets)]
+        reach = [o.area(o.intersection(_grown(s, 0.05), hole)) if near else 0.0 for s, near in zip(sets, close, strict=True)]
         if max(reach, default=0.0) > 0:
             i = reach.index(max(reach))
             sets[i] = o.union(sets[i], hole)
@@ -146,10 +152,14 @@ def _resolve(p: pd.DataFrame, max_gap: float) -> pd.DataFrame:
     return out
 
 
+def _edges(s) -> np.ndarray:
+    """Directed edges of a set, outer rings counter-clockwise and holes clockwise."""
+    turn = lambda r, i: r if (o.ring_area(r) > 0) == (i == 0) else r[::-1]
+    return o._segments([[turn(r, i) for i, r in enumerate(q)] for q in s])
+
+
 def _grown(s, r: float):
     """Parts with each ring pushed outwards by about r: enough to reach over a seam."""
-    import numpy as np
-
     out = []
     for q in s:
         p = q[0]
