@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..common import clean_fid, cut, salted_pair
+from ..common import clean_fid, cut, finished, salted_pair
 
 #: Rounds after which a graph counts as not converging; each round at least halves the open paths.
 MAX_ROUNDS = 60
@@ -53,6 +53,7 @@ def match_links(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, nodes
 
 
+@finished
 def match_groups(matches: DataFrame) -> DataFrame:
     """``group_fid, fid``: every record with the smallest fid of its group; its own if it stands alone."""
     links, nodes = match_links(matches)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from ..common import broadcast_if_small, cut, spread
+from ..common import broadcast_if_small, cut, finished, spread
 
 #: Words of an instruction that items share, from which it counts as standing, and the items that share it.
 SHARED_WORDS, SHARED_ITEMS = 6, 4
@@ -98,6 +98,7 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return end - first + 1, found, score
 
 
+@finished
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``item_id, doc_id, span, found, score`` of every document that holds a passage of an item.
 
