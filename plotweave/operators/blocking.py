@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from ..common import cut
+from ..common import cut, spread
 from ..functions import geometry as g, shapes, text as t
 from ..functions.kernel import overlap_area
 from .spatial import grid_pairs
@@ -14,10 +14,10 @@ from .spatial import grid_pairs
 SEARCH_RADIUS, MAX_PER_SOURCE = 18.0, 18
 
 
-def prepared(layer: DataFrame, prefix: str = "") -> DataFrame:
-    """Layer with ``pack, bbox, area, perimeter, cx, cy, n_vertices`` computed once, before any pair."""
-    d = g.measured(layer, "geom")
-    return d.withColumn("pack", g.packed("edges", "bbox", "double")).withColumn("n_vertices", g.vertex_count("geom")).drop("edges")
+def prepared(layer: DataFrame) -> DataFrame:
+    """Layer with ``pack, bbox, area, perimeter, cx, cy, n_vertices``, computed once on all cores and kept."""
+    d = g.measured(spread(layer), "geom")
+    return cut(d.withColumn("pack", g.packed("edges", "bbox", "double")).withColumn("n_vertices", g.vertex_count("geom")).drop("edges"))
 
 
 def block(src: DataFrame, tgt: DataFrame, radius: float = SEARCH_RADIUS, top: int = MAX_PER_SOURCE, cell: float | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def is_simple(geom: pa.Array) -> pa.Array:
 
 def overlap_pairs(layer: DataFrame) -> DataFrame:
     """``a, b, area`` of pairs of features that share more than LEAST_OVERLAP; a < b."""
-    p = cut(prepared(layer.select("fid", "geom")))
+    p = prepared(layer.select("fid", "geom"))
     left = p.select(F.col("fid").alias("src"), "bbox")
     right = p.select(F.col("fid").alias("tgt"), "bbox")
     pairs = grid_pairs(left, right, 60.0).filter("src < tgt").select("src", "tgt")
@@ -44,7 +44,7 @@ def overlap_pairs(layer: DataFrame) -> DataFrame:
 
 def touching(layer: DataFrame, reach: float = 0.05) -> DataFrame:
     """``fid, comp``: groups of features whose boxes meet within ``reach``: no gap or overlap crosses groups."""
-    p = cut(prepared(layer.select("fid", "geom")).select("fid", "bbox"))
+    p = prepared(layer.select("fid", "geom")).select("fid", "bbox")
     pairs = grid_pairs(p.select(F.col("fid").alias("a"), "bbox"), p.select(F.col("fid").alias("b"), "bbox"), 60.0, reach).filter("a < b").select("a", "b")
     return components(pairs, p.select("fid")).select(F.col("node").alias("fid"), "comp")
 
