@@ -579,7 +579,7 @@ def pair_features29(spark, d):
 def gbdt_match(spark, d):
     """Held-out precision, recall and F1 of the trained matcher on the test city."""
     p = matcher.group_split(city_pairs(spark)[0], "src")
-    m = matcher.PairMatcher(rounds=20, params={"maxDepth": 4}).fit(p.filter("not held"))
+    m = matcher.PairMatcher(rounds=5, params={"maxDepth": 3}).fit(p.filter("not held"))
     return metrics.classification_report(m.predict(p.filter("held")).select("y", F.col("prob").alias("p"), F.concat_ws("|", "src", "tgt").alias("id")))
 
 
