@@ -6,12 +6,13 @@ copy with some boxes gone. Everything runs over whole tables.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..common import cut, table
+from ..common import clean_fid, cut, first_of, table
 from ..functions import crs, geometry as g, text as t
 from ..operators import access, assign, audit, blocking, change, georef, graph, layers, matcher, metrics, proximity, resolve, schema_match, targeting, topology
 from ..sources import readers, synth, writers
@@ -534,19 +535,23 @@ def event_sessions(spark, d):
 
 # ------------------------------------- models and algorithms without SQL
 
-CITY = synth.CityConfig(blocks_x=3, blocks_y=3, govt_every=8)
 
+def given(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """All records of a given layer that have an outline, one row a fid."""
+    t_ = table(spark, d, name).select(clean_fid("fid").alias("fid"), "geom", *columns).filter("fid is not null and size(geom.parts) > 0 and size(geom.parts[0][0]) > 2")
+    return first_of(t_, ["fid"])
 
-def city(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Parcels, buildings, public land and the damaged twin of the seeded test city."""
-    c = cut(synth.generate_city(spark, CITY))
-    parcels = c.filter("layer = 'parcels'")
-    return parcels, c.filter("layer = 'buildings'"), c.filter("layer = 'govt_land'"), cut(synth.corrupt_cadastre(parcels))
+
+def city_size(spark: SparkSession, d: str) -> synth.CityConfig:
+    """A city of as many blocks as the given parcels extend over, never fewer than the generator's own default."""
+    r = table(spark, d, "parcels").agg(F.max("block_i").alias("i"), F.max("block_j").alias("j")).head()
+    c = synth.CityConfig()
+    return synth.CityConfig(blocks_x=max(c.blocks_x, (r["i"] or 0) + 1), blocks_y=max(c.blocks_y, (r["j"] or 0) + 1))
 
 
 @query()
 def city_layers(spark, d):
-    return synth.generate_city(spark, CITY).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    return synth.generate_city(spark, city_size(spark, d)).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -558,34 +563,50 @@ def coarse_alignment(spark, d):
     return spark.createDataFrame([(m.a, m.b, m.tx, m.ty, m.scale, m.rotation_deg)], "a double, b double, tx double, ty double, scale double, rotation_deg double")
 
 
-def city_pairs(spark) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    parcels, _, _, legacy = city(spark)
+LEGACY = ["KHSRA_NUM", "KHATEDAR_NM", "AREA_BIGHA", "LU_CODE", "TENURE_TYP", "WARD", "PARCEL_UID"]
+PARCEL = ["khasra_no", "owner_name", "recorded_area_sqm", "land_use", "tenure", "ward_no", "ulpin"]
+
+
+def candidate_pairs(legacy: DataFrame, parcels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of all candidate pairs of a legacy layer and the parcels, and both layers as described."""
     m = georef.coarse_align(georef.centres(legacy), georef.centres(parcels), rounds=4)
     x = lambda a, b: m.apply(a, b)
     moved = legacy.withColumn("geom", g.map_points("geom", lambda a, b: x(a, b)[0], lambda a, b: x(a, b)[1]))
     src = cut(blocking.described(moved, {"khasra": "KHSRA_NUM", "owner": "KHATEDAR_NM", "area": "AREA_BIGHA", "land_use": "LU_CODE", "tenure": "TENURE_TYP", "ward": "WARD", "ulpin": "PARCEL_UID"}))
     tgt = cut(blocking.described(parcels, {"khasra": "khasra_no", "owner": "owner_name", "land_use": "land_use", "tenure": "tenure", "ward": "ward_no", "ulpin": "ulpin"}))
-    f = blocking.pair_features(blocking.block(src, tgt), src, tgt, 2529.285)
-    truth = legacy.select(F.col("fid").alias("src"), F.explode("truth_fids").alias("tgt")).withColumn("y", F.lit(1))
-    return cut(f.join(truth, ["src", "tgt"], "left").na.fill(0, ["y"])), src, tgt, legacy
+    return cut(blocking.pair_features(blocking.block(src, tgt), src, tgt, 2529.285)), src, tgt
+
+
+def given_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return candidate_pairs(cut(given(spark, d, "parcels_legacy", *LEGACY)), cut(given(spark, d, "parcels", *PARCEL)))
+
+
+def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of all given parcels and their damaged twin, with ``y`` by its answer key."""
+    parcels = cut(given(spark, d, "parcels", *PARCEL))
+    twin = cut(synth.corrupt_cadastre(parcels))
+    truth = twin.select(F.col("fid").alias("src"), F.explode("truth_fids").alias("tgt")).withColumn("y", F.lit(1))
+    return cut(candidate_pairs(twin, parcels)[0].join(truth, ["src", "tgt"], "left").na.fill(0, ["y"]))
 
 
 @query()
 def pair_features29(spark, d):
-    return city_pairs(spark)[0]
+    return given_pairs(spark, d)[0]
 
 
 @query()
 def gbdt_match(spark, d):
-    """Held-out precision, recall and F1 of the trained matcher on the test city."""
-    p = matcher.group_split(city_pairs(spark)[0], "src")
+    """Held-out precision, recall and F1 of the matcher trained on the twin of all parcels; pairs it scores and takes of the given layers."""
+    p = matcher.group_split(labelled_pairs(spark, d), "src")
     m = matcher.PairMatcher(rounds=5, params={"maxDepth": 3}).fit(p.filter("not held"))
-    return metrics.classification_report(m.predict(p.filter("held")).select("y", F.col("prob").alias("p"), F.concat_ws("|", "src", "tgt").alias("id")))
+    report = metrics.classification_report(m.predict(p.filter("held")).select("y", F.col("prob").alias("p"), F.concat_ws("|", "src", "tgt").alias("id")))
+    taken = m.predict(given_pairs(spark, d)[0]).agg(F.count(F.lit(1)).alias("given_pairs"), F.count_if(F.col("prob") >= 0.5).alias("given_matches"))
+    return report.crossJoin(F.broadcast(taken))
 
 
 @query()
 def global_assignment(spark, d):
-    p, src, tgt, _ = city_pairs(spark)
+    p, src, tgt = given_pairs(spark, d)
     prob = 1 / (1 + F.exp(-12 * (F.greatest("src_frac_in_tgt", "tgt_frac_in_src") - 0.5)))
     scored_pairs = p.select("src", "tgt", prob.alias("prob"), (F.col("src_frac_in_tgt")).alias("f")).join(src.select(F.col("fid").alias("src"), "area"), "src").withColumn("inter", F.col("f") * F.col("area")).drop("f", "area")
     return assign.assign_matches(scored_pairs, src, tgt).drop("comp", "siblings")
@@ -593,13 +614,13 @@ def global_assignment(spark, d):
 
 @query()
 def topology_clean(spark, d):
-    legacy = city(spark)[3].select("fid", "geom")
-    return topology.area_ledger(legacy, topology.clean_layer(legacy))
+    legacy = cut(given(spark, d, "parcels_legacy"))
+    return topology.area_ledger(legacy, cut(topology.clean_layer(legacy)))
 
 
 @query()
 def topology_diagnosis(spark, d):
-    return topology.diagnose(city(spark)[3].select("fid", "geom"))
+    return topology.diagnose(cut(given(spark, d, "parcels_legacy")))
 
 
 @query()
@@ -622,8 +643,15 @@ def survey_plan(spark, d):
 
 @query()
 def epoch_recovery(spark, d):
-    """Injected against detected changes of the test city's later epoch."""
-    _, b, _, _ = city(spark)
-    later = cut(synth.build_epoch(b))
-    e = change.detect_change(b, later)
-    return later.join(e.select("fid", "kind"), "fid", "left").groupBy("injected", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Injected against detected changes of a later state of each whole snapshot of the given buildings."""
+    b = table(spark, d, "buildings").select(clean_fid("fid").alias("fid"), "epoch", "geom", "height_m", "loaded_at").filter("fid is not null and epoch is not null and size(geom.parts) > 0")
+    b = cut(b.groupBy("epoch", "fid").agg(F.max_by(F.struct("geom", "height_m"), F.struct("loaded_at", "geom", "height_m")).alias("r")).select("epoch", "fid", "r.*"))
+    e = layers.extent(b).head()
+    out = []
+    for r in b.select("epoch").distinct().orderBy("epoch").collect():
+        before = b.filter(F.col("epoch") == r["epoch"]).drop("epoch")
+        later = cut(synth.build_epoch(before, north=max(5_000.0, 100.0 + e["ymax"] - e["ymin"])))
+        found = change.detect_change(before, later).filter("kind <> 'demolished'")
+        out.append(later.join(found.select("fid", "kind"), "fid", "left").groupBy("injected", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(r["epoch"]).alias("epoch"), "injected", "kind", "n"))
+    none = spark.createDataFrame([], "epoch string, injected string, kind string, n bigint")
+    return functools.reduce(DataFrame.unionByName, out, none)
