@@ -559,7 +559,7 @@ def coarse_alignment(spark, d):
     """Similarity of the whole legacy layer onto the parcels, and the median distance before and after."""
     a = georef.centres(table(spark, d, "parcels_legacy").dropDuplicates(["fid"]).filter("geom is not null"))
     b = georef.centres(table(spark, d, "parcels").dropDuplicates(["fid"]))
-    m = georef.coarse_align(a, b, max_shift=30.0, rounds=4)
+    m = georef.coarse_align(a, b)
     return spark.createDataFrame([(m.a, m.b, m.tx, m.ty, m.scale, m.rotation_deg)], "a double, b double, tx double, ty double, scale double, rotation_deg double")
 
 
@@ -569,7 +569,7 @@ PARCEL = ["khasra_no", "owner_name", "recorded_area_sqm", "land_use", "tenure",
 
 def candidate_pairs(legacy: DataFrame, parcels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features of all candidate pairs of a legacy layer and the parcels, and both layers as described."""
-    m = georef.coarse_align(georef.centres(legacy), georef.centres(parcels), rounds=4)
+    m = georef.coarse_align(georef.centres(legacy), georef.centres(parcels))
     x = lambda a, b: m.apply(a, b)
     moved = legacy.withColumn("geom", g.map_points("geom", lambda a, b: x(a, b)[0], lambda a, b: x(a, b)[1]))
     src = cut(blocking.described(moved, {"khasra": "KHSRA_NUM", "owner": "KHATEDAR_NM", "area": "AREA_BIGHA", "land_use": "LU_CODE", "tenure": "TENURE_TYP", "ward": "WARD", "ulpin": "PARCEL_UID"}))
@@ -598,7 +598,7 @@ def pair_features29(spark, d):
 def gbdt_match(spark, d):
     """Held-out precision, recall and F1 of the matcher trained on the twin of all parcels; pairs it scores and takes of the given layers."""
     p = matcher.group_split(labelled_pairs(spark, d), "src")
-    m = matcher.PairMatcher(rounds=5, params={"maxDepth": 3}).fit(p.filter("not held"))
+    m = matcher.PairMatcher().fit(p.filter("not held"))
     report = metrics.classification_report(m.predict(p.filter("held")).select("y", F.col("prob").alias("p"), F.concat_ws("|", "src", "tgt").alias("id")))
     taken = m.predict(given_pairs(spark, d)[0]).agg(F.count(F.lit(1)).alias("given_pairs"), F.count_if(F.col("prob") >= 0.5).alias("given_matches"))
     return report.crossJoin(F.broadcast(taken))
@@ -623,20 +623,25 @@ def topology_diagnosis(spark, d):
     return topology.diagnose(cut(given(spark, d, "parcels_legacy")))
 
 
+UNCERTAINTY = targeting.Uncertainty(297.1, 12.25, 0.28)
+
+
+def whole_plan(spark: SparkSession, d: str) -> tuple[list[dict], str]:
+    """Plan of the operator's default size for the given parcels, and why it stopped."""
+    p = cut(given(spark, d, "parcels"))
+    return targeting.plan_survey(georef.centres(p), targeting.candidate_corners(p), UNCERTAINTY)
+
+
 @query()
 def gp_posterior(spark, d):
-    """Posterior spread at every survey position given the first points of the plan."""
+    """Posterior spread at every survey position given all points of the plan."""
     pts = proximity.survey_positions(table(spark, d, "survey_points")).select("x", "y")
-    at = targeting.sampled(pts, 20)
-    obs = np.array(at.collect(), float).reshape(-1, 2)
-    return targeting.Uncertainty(297.1, 12.25, 0.28).posterior(pts, obs)
+    return UNCERTAINTY.posterior(pts, np.array([(r["x"], r["y"]) for r in whole_plan(spark, d)[0]], float).reshape(-1, 2))
 
 
 @query()
 def survey_plan(spark, d):
-    p = table(spark, d, "parcels").filter("geom is not null")
-    centres = georef.centres(p.dropDuplicates(["fid"]))
-    plan, why = targeting.plan_survey(centres, targeting.candidate_corners(p, 200), targeting.Uncertainty(297.1, 12.25, 0.28), k=8)
+    plan, why = whole_plan(spark, d)
     cols = ["rank", "x", "y", "marginal_gain", "rmse_before", "rmse_after", "rmse_delta"]
     return spark.createDataFrame([tuple(r[c] for c in cols) + (r["reason"], why) for r in plan], "rank int, x double, y double, marginal_gain double, rmse_before double, rmse_after double, rmse_delta double, reason string, stopped string")
 

@@ -36,3 +36,21 @@ def test_ledger_and_epochs_are_of_the_tables(spark, few):
     assert {r["epoch"] for r in got} == {"t0", "t1", "t2", "t3"}
     assert {r["kind"] for r in got if r["injected"] == "new"} <= {"new"} and sum(r["n"] for r in got) > 40
     assert {r["layer"]: r["n"] for r in c.city_layers(spark, few).collect()}["roads"] >= 42
+
+
+def test_defaults(spark, few, monkeypatch):
+    """Queries leave the operators' sizes alone."""
+    seen = {}
+
+    def spy(module, name):
+        fn = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: (seen.setdefault(name, k), fn(*a, **k))[1])
+
+    for module, name in ((c.georef, "coarse_align"), (c.targeting, "candidate_corners"), (c.targeting, "plan_survey")):
+        spy(module, name)
+    c.table(spark, "/root/testdata/sf0.001", "survey_points").write.parquet(f"{few}/survey_points.parquet")
+    c.coarse_alignment(spark, few)
+    plan = c.survey_plan(spark, few)
+    assert seen == {"coarse_align": {}, "candidate_corners": {}, "plan_survey": {}}
+    assert plan.count() > 0
+    assert c.gp_posterior(spark, few).filter("variance is not null").count() > 0
