@@ -21,9 +21,11 @@ SHARED_WORDS, SHARED_ITEMS = 6, 4
 SPAN, ANCHORS = 5, 2
 #: Anchors at one offset, and in the offsets up to DRIFT away, that make a candidate.
 AT_OFFSET, NEARBY, DRIFT = 2, 3, 4
-#: A passage counts with so many item words from its first to its last, so many of them found in order,
-#: and found ones outnumbering changed, missing and inserted ones by so many.
-LEAST_SPAN, LEAST_FOUND, LEAST_SCORE = 11, 9, 7
+#: A passage counts with so many item words, its changed ends included, so many of them found in order, and at most
+#: one in SINGLE of them changed or missing and as many put in; or with found ones outnumbering all these by LEAST_SCORE.
+LEAST_SPAN, LEAST_FOUND, SINGLE, LEAST_SCORE = 12, 9, 4, 7
+#: Weight of a found word in the alignment; a changed, missing or inserted one weighs 1 against it.
+FOUND = 2
 #: Words of margin around a candidate's place in the document.
 MARGIN = 30
 
@@ -75,27 +77,50 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two word sequences: item words spanned, words found, score.
 
-    A found word scores 1; a changed, missing or inserted one costs 1.
+    A found word weighs two changed, missing or inserted ones, so that a changed
+    word next to an end doesn't cut the end off. Words changed at the ends
+    themselves leave no trace: a span is widened up to LEAST_SPAN as far as both
+    texts go on, over changed words to a lone found one, and if LEAST_FOUND are
+    found, over changed ones alone. The score is the found words less the changed,
+    missing and inserted ones.
     """
     n, m = len(item), len(doc)
     h = np.zeros((n + 1, m + 1), np.int32)
     steps = np.arange(m + 1)
     for i in range(1, n + 1):
-        diag = h[i - 1, :-1] + np.where(doc == item[i - 1], 1, -1)
+        diag = h[i - 1, :-1] + np.where(doc == item[i - 1], FOUND, -1)
         row = np.maximum(np.maximum(np.concatenate([[0], diag]), h[i - 1] - 1), 0)
         h[i] = np.maximum.accumulate(row + steps) - steps
     i, j = divmod(int(h.argmax()), m + 1)
-    score, end, found, first = int(h[i, j]), i, 0, i
+    weight, end, found, first = int(h[i, j]), i, 0, i
+    room, start, stop = min(n - i, m - j), j, j
     while i and j and h[i, j] > 0:
-        if item[i - 1] == doc[j - 1] and h[i, j] == h[i - 1, j - 1] + 1:
-            found, first, i, j = found + 1, i, i - 1, j - 1
+        if item[i - 1] == doc[j - 1] and h[i, j] == h[i - 1, j - 1] + FOUND:
+            found, first, start, i, j = found + 1, i, j, i - 1, j - 1
         elif h[i, j] == h[i - 1, j - 1] - 1:
             i, j = i - 1, j - 1
         elif h[i, j] == h[i - 1, j] - 1:
             i -= 1
         else:
             j -= 1
-    return end - first + 1, found, score
+    span, score = end - first + 1, found - (FOUND * found - weight)
+    # a lone word beyond changed ones, and changed ends, up to the least span
+    changes, left, right = LEAST_SPAN // SINGLE - (span - found), min(first, start) - 1, room
+    for side in (-1, 1):
+        at, to = (first - 2, start - 2) if side < 0 else (end, stop)
+        for k in range(min(changes, LEAST_SPAN - span - 1, (left if side < 0 else right) - 1), 0, -1):
+            if item[at + side * k] == doc[to + side * k]:
+                span, found, score, changes = span + k + 1, found + 1, score + 1 - k, changes - k
+                left, right = (left - k - 1, right) if side < 0 else (left, right - k - 1)
+                break
+    ends = max(0, min(LEAST_SPAN - span, left + right)) if found >= LEAST_FOUND else 0
+    return span + ends, found, score - ends
+
+
+def counts(span, found, score):
+    """If a passage of these figures, numbers or columns, is a leak."""
+    single = (SINGLE * (span - found) <= span) & (SINGLE * (2 * found - score - span) <= span)
+    return (span >= LEAST_SPAN) & (found >= LEAST_FOUND) & (single | (score >= LEAST_SCORE))
 
 
 @finished
@@ -140,7 +165,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     for lo, hi in groups:
                         part = ids[max(0, lo - MARGIN) : max(0, hi + len(t) + MARGIN)]
                         if len(part):
-                            best = max(best, align(t, part), key=lambda x: x[2])
+                            best = max(best, align(t, part), key=lambda x: (counts(*x), x[2]))
                     out.append((item, d, *best))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["item_id", "doc_id", "span", "found", "score"])
@@ -150,4 +175,4 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``item_id, doc_id`` of the leaks that count."""
-    return leaks(docs, items).filter((F.col("span") >= LEAST_SPAN) & (F.col("found") >= LEAST_FOUND) & (F.col("score") >= LEAST_SCORE)).select("item_id", "doc_id").distinct()
+    return leaks(docs, items).filter(counts(F.col("span"), F.col("found"), F.col("score"))).select("item_id", "doc_id").distinct()
