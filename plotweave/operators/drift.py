@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from ..common import cut, finished, spread
+from ..common import ceil_log2, cut, finished, spread
 
 #: Content hashes kept of a column in a file: all of them up to this number of
 #: distinct values, the smallest ones beyond (an unbiased bottom-k sketch).
@@ -62,6 +62,11 @@ def normal_value(value: Column) -> Column:
     return F.coalesce(truth, F.when(s.rlike(num), plain), F.regexp_replace(s, r"\s+", " "))
 
 
+def whole(v: Column) -> Column:
+    """If a row, whose payload is ``v``, is a whole line of a file."""
+    return F.col("source").isNotNull() & F.col("file_id").isNotNull() & v.isNotNull() & F.call_function("schema_of_variant", v).like("OBJECT%")
+
+
 def cells_of(records: DataFrame) -> DataFrame:
     """``source, file_id, as_of, line, column, type, value``, one row for each key of each whole line.
 
@@ -70,7 +75,7 @@ def cells_of(records: DataFrame) -> DataFrame:
     for a JSON null.
     """
     rows = records.select("source", "file_id", "as_of", F.expr("try_parse_json(payload)").alias("v"), F.xxhash64("payload").alias("line"))
-    rows = rows.filter("source is not null and file_id is not null and v is not null and schema_of_variant(v) like 'OBJECT%'").dropDuplicates(["source", "file_id", "line"])
+    rows = rows.filter(whole(F.col("v"))).dropDuplicates(["source", "file_id", "line"])
     entry = rows.selectExpr("source", "file_id", "as_of", "line", "explode(map_entries(cast(v as map<string, variant>))) as e")
     kind = F.expr("schema_of_variant(e.value)")
     text = F.expr("cast(e.value as string)")
@@ -157,17 +162,19 @@ def drift_report(records: DataFrame) -> DataFrame:
 
 @finished
 def unmapped_columns(records: DataFrame) -> DataFrame:
-    """``column_name, n_files`` of keys that no field's word list and no rename chain reaches."""
+    """``column_name, n_files`` of keys that no field's word list and no rename chain reaches, whichever way."""
     cells = cut(cells_of(records))
     f = column_fields(cells, migrations(cells))
     return f.filter("field is null").groupBy(F.col("column").alias("column_name")).agg(F.count_distinct("file_id").alias("n_files"))
 
 
 def column_fields(cells: DataFrame, steps: DataFrame) -> DataFrame:
-    """``source, file_id, column, field``: the field each column holds.
+    """``source, file_id, column, field, name``: the field each column holds, and the name of its rename chain.
 
     By the word list where it knows the key, else the field of the nearest
-    version the rename chain leads to, whichever way; null if none is known.
+    version of the chain, earlier or later (of two equally near the earlier);
+    null if none is known. ``name`` is the chain's first key; where chains of a
+    source begin with the same key, all but the first add their first file.
     """
     cols = cells.select("source", "file_id", "column").distinct().join(file_order(cells), ["source", "file_id"])
     ren = steps.filter("step = 'renamed'").select("source", "file_id", "column", "earlier")
@@ -175,34 +182,44 @@ def column_fields(cells: DataFrame, steps: DataFrame) -> DataFrame:
     start = steps.filter("step = 'added'").select("source", "file_id", "column", F.lit(True).alias("start"))
     c = cols.join(ren, ["source", "file_id", "column"], "left").join(start, ["source", "file_id", "column"], "left")
     own = F.concat_ws("\u0001", F.col("file_id").cast("string"), F.col("column"))
-    up = c.select("source", own.alias("id"), F.when((F.col("version") > 1) & F.col("start").isNull(), F.concat_ws("\u0001", F.col("prev_id").cast("string"), F.coalesce("earlier", "column"))).alias("up"), field_of(F.col("column")).alias("f"), "file_id", "column")
-    known = up
-    for _ in range(8):
-        known = known.join(up.select(F.col("source").alias("s2"), F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("up").alias("up2")), (F.col("source") == F.col("s2")) & (F.col("up") == F.col("id2")), "left").select(
-            "source", "id", F.coalesce("f", "f2").alias("f"), F.col("up2").alias("up"), "file_id", "column"
-        )
-    return known.select("source", "file_id", "column", F.col("f").alias("field"))
+    up = F.when((F.col("version") > 1) & F.col("start").isNull(), F.concat_ws("\u0001", F.col("prev_id").cast("string"), F.coalesce("earlier", "column")))
+    c = cut(c.select("source", "file_id", "column", "version", own.alias("id"), F.coalesce(up, own).alias("up")))
+    # pointer doubling: each round leads twice as many versions back, until all point to a chain's first
+    ups = c.select("source", "id", "up")
+    for _ in range(ceil_log2(c.agg(F.max("version")).head()[0] or 1)):
+        ups = cut(ups.join(ups.select("source", F.col("id").alias("up"), F.col("up").alias("up2")), ["source", "up"]).select("source", "id", F.col("up2").alias("up")))
+    c = c.drop("up").join(ups, ["source", "id"]).withColumn("f", field_of(F.col("column")))
+    chain = W.partitionBy("source", "up").orderBy("version")
+    at = F.when(F.col("f").isNotNull(), F.struct("version", "f"))
+    c = c.withColumn("before", F.last(at, True).over(chain)).withColumn("after", F.first(at, True).over(chain.rowsBetween(0, W.unboundedFollowing)))
+    later = F.col("before").isNull() | (F.col("after.version") - F.col("version") < F.col("version") - F.col("before.version"))
+    c = c.withColumn("field", F.coalesce("f", F.when(later, F.col("after.f")), "before.f"))
+    first = c.filter("id = up").select("source", "up", F.col("column").alias("key"), F.col("file_id").alias("since"), F.row_number().over(W.partitionBy("source", "column").orderBy("version")).alias("r"))
+    name = F.when(F.col("r") == 1, F.col("key")).otherwise(F.concat_ws("@", "key", F.col("since").cast("string")))
+    return c.join(first, ["source", "up"]).select("source", "file_id", "column", "field", name.alias("name"))
 
 
 @finished
 def consistent_records(records: DataFrame) -> DataFrame:
-    """One consistent table of all whole lines: ``record_id, file_id, source`` and one column a field.
+    """One consistent table of all whole lines: ``record_id, file_id, source``, one column a field, and ``other``.
 
-    Keys go through the chained renames, values through the fields' casts;
+    ``other`` maps the chains that hold no known field, by their names, to the
+    values; null if the line has none. Keys go through the chained renames, values through the fields' casts;
     absent keys and values that don't cast are null. A number keeps its unit
     text out: "0.4 bigha" casts as 0.4.
     """
     base = records.select("source", "file_id", "as_of", "payload", "record_id")
     cells = cut(cells_of(spread(base)))
-    fields = column_fields(cells, migrations(cells)).filter("field is not null").select("source", "file_id", "column", "field")
-    lines = base.select("record_id", "source", "file_id", F.xxhash64("payload").alias("line"))
+    fields = column_fields(cells, migrations(cells))
+    lines = base.filter(whole(F.expr("try_parse_json(payload)"))).select("record_id", "source", "file_id", F.xxhash64("payload").alias("line"))
     long = cells.join(fields, ["source", "file_id", "column"])
-    wide = long.groupBy("source", "file_id", "line").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELD_WORDS])
-    out = lines.join(wide, ["source", "file_id", "line"])
+    other = F.when(F.col("field").isNull() & F.col("value").isNotNull(), F.struct("name", "value"))
+    wide = long.groupBy("source", "file_id", "line").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELD_WORDS], F.collect_list(other).alias("other"))
+    out = lines.join(wide, ["source", "file_id", "line"], "left").withColumn("other", F.when(F.size("other") > 0, F.map_from_entries("other")))
 
     def cast(f: str) -> Column:
         t = FIELD_TYPES.get(f)
         n = normal_value(F.col(f))
         return (F.when(n == "1", True).when(n == "0", False) if t == "boolean" else n.try_cast(t) if t else F.col(f)).alias(f)
 
-    return out.select("record_id", "file_id", "source", *[cast(f) for f in FIELD_WORDS])
+    return out.select("record_id", "file_id", "source", *[cast(f) for f in FIELD_WORDS], "other")
