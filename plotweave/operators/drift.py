@@ -1,7 +1,7 @@
 """Schemas that drift between the files of a source.
 
-Each file's columns get a versioned fingerprint: presence, JSON type and a
-sketch of the normalised content. Comparing a file with the one before it
+Each file's columns get a versioned fingerprint: presence, JSON type and the
+hashes of the normalised content. Comparing a file with the one before it
 gives explicit migration steps (rename, retype, add, remove); chaining the
 steps from a source's first file on routes every record into one consistent
 table.
@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..common import ceil_log2, cut, finished, spread
 
-#: Content hashes kept of a column in a file: all of them up to this number of
-#: distinct values, the smallest ones beyond (an unbiased bottom-k sketch).
-SKETCH = 256
-#: Share of the smaller sketch that must recur, from which two columns have the same content; with the
+#: Share of the smaller column's distinct values that must recur, from which two columns have the same content; with the
 #: same field name by the word list, half of it.
 SAME_CONTENT = 0.3
 
@@ -83,31 +80,20 @@ def cells_of(records: DataFrame) -> DataFrame:
     return entry.select("source", "file_id", "as_of", "line", F.col("e.key").alias("column"), t.alias("type"), F.when(t.isNotNull(), text).alias("value"))
 
 
-def fingerprints(cells: DataFrame) -> DataFrame:
-    """``source, file_id, column, type, sketch`` of each column of each file.
+def fingerprints(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``source, file_id, column, type, size`` of each column of each file, and ``source, file_id, column, h`` of its content.
 
     ``type`` is that of most non-null values (of equals the alphabetically last),
-    null if there are none; ``sketch`` holds up to SKETCH content hashes. Counts
-    combine before the shuffle and the rank limit applies before it, so a file
-    with a third of all rows doesn't meet in one task.
+    null if there are none; ``size`` counts the distinct hashes ``h``. Counts
+    combine before the shuffle, so a file with a third of all rows doesn't meet
+    in one task.
     """
     keys = ["source", "file_id", "column"]
-    per = cells.groupBy(*keys, "type", F.xxhash64(normal_value(F.col("value"))).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    per = cut(cells.groupBy(*keys, "type", F.xxhash64(normal_value(F.col("value"))).alias("h")).agg(F.count(F.lit(1)).alias("n")))
     types = per.groupBy(*keys, "type").agg(F.sum(F.when(F.col("type").isNotNull(), F.col("n"))).alias("n")).groupBy(*keys).agg(F.max_by("type", F.struct("n", "type")).alias("type"))
-    ranked = per.filter(F.col("type").isNotNull()).select(*keys, "h").distinct()
-    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("h"))).filter(F.col("r") <= SKETCH)
-    sketch = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
-    return types.join(sketch, keys, "left").withColumn("sketch", F.coalesce("sketch", F.array().cast("array<bigint>")))
-
-
-def same_content(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch found in the other, over the hash range both cover."""
-    top = F.when(F.size(a) < SKETCH, F.lit(2**63 - 1)).otherwise(F.array_max(a))
-    top_b = F.when(F.size(b) < SKETCH, F.lit(2**63 - 1)).otherwise(F.array_max(b))
-    both = F.least(top, top_b)
-    within = lambda s: F.filter(s, lambda h: h <= both)
-    n = F.least(F.size(within(a)), F.size(within(b)))
-    return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
+    hashes = per.filter(F.col("type").isNotNull()).select(*keys, "h").distinct()
+    sizes = hashes.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    return types.join(sizes, keys, "left").na.fill(0, ["size"]), hashes
 
 
 def file_order(cells: DataFrame) -> DataFrame:
@@ -123,22 +109,30 @@ def migrations(cells: DataFrame) -> DataFrame:
     ``step`` is added, removed, renamed or retyped. A rename pairs a column that
     vanished with one that appeared when each is the other's best in content.
     """
-    prints = cut(fingerprints(cells))
+    prints, hashes = fingerprints(cells)
+    prints = cut(prints)
     order = cut(file_order(cells))
     now = order.filter("prev_id is not null").join(prints, ["source", "file_id"])
     old = order.filter("prev_id is not null").join(prints.withColumnRenamed("file_id", "prev_id"), ["source", "prev_id"])
     k = ["source", "file_id", "version"]
-    both = now.select(*k, "column", F.col("type").alias("type"), F.col("sketch").alias("sketch")).join(
-        old.select(*k, "column", F.col("type").alias("earlier_type"), F.col("sketch").alias("earlier_sketch"), F.lit(True).alias("was")).withColumn("earlier", F.col("column")),
+    both = now.select(*k, "column", "type", "size").join(
+        old.select(*k, "column", F.col("type").alias("earlier_type"), F.col("size").alias("earlier_size"), F.lit(True).alias("was")).withColumn("earlier", F.col("column")),
         [*k, "column"], "full",
     )
-    kept = both.filter("was and sketch is not null")
-    fresh = both.filter("was is null").select(*k, "column", "type", "sketch")
-    gone = both.filter("was and sketch is null").select(*k, "earlier", "earlier_type", "earlier_sketch")
-    score = same_content(F.col("sketch"), F.col("earlier_sketch"))
+    both = cut(both)
+    kept = both.filter("was and size is not null")
+    fresh = both.filter("was is null").select(*k, "column", "type", "size")
+    gone = both.filter("was and size is null").select(*k, "earlier", "earlier_type", "earlier_size")
+    # values in common are counted whole, for columns that came against columns that went only
+    came = hashes.join(fresh.select(*k, "column"), ["source", "file_id", "column"]).select(*k, "column", "h")
+    went = gone.select(*k, "earlier").join(order.select("source", "file_id", "prev_id"), ["source", "file_id"])
+    went = hashes.select("source", F.col("file_id").alias("prev_id"), F.col("column").alias("earlier"), "h").join(went, ["source", "prev_id", "earlier"]).select(*k, "earlier", "h")
+    common = came.join(went, [*k, "h"]).groupBy(*k, "column", "earlier").agg(F.count(F.lit(1)).alias("common"))
+    least = F.least("size", "earlier_size")
+    score = F.when(least > 0, F.coalesce("common", F.lit(0)) / least).otherwise(0.0)
     alike = F.coalesce(field_of(F.col("column")) == field_of(F.col("earlier")), F.lit(False))
-    pairs = fresh.join(gone, k).withColumn("score", score + alike.cast("double"))
-    pairs = pairs.filter((F.col("score") >= F.when(alike, 1 + SAME_CONTENT / 2).otherwise(SAME_CONTENT)) | (alike & ((F.size("sketch") == 0) | (F.size("earlier_sketch") == 0))))
+    pairs = fresh.join(gone, k).join(common, [*k, "column", "earlier"], "left").withColumn("score", score + alike.cast("double"))
+    pairs = pairs.filter((F.col("score") >= F.when(alike, 1 + SAME_CONTENT / 2).otherwise(SAME_CONTENT)) | (alike & ((F.col("size") == 0) | (F.col("earlier_size") == 0))))
     best = lambda side: F.row_number().over(W.partitionBy(*k, side).orderBy(F.desc("score"), "column", "earlier"))
     renamed = pairs.withColumn("ra", best("column")).withColumn("rb", best("earlier")).filter("ra = 1 and rb = 1").select(*k, "column", "type", "earlier", "earlier_type")
     cols = [*k, "column", "earlier", "type", "earlier_type"]

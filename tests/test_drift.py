@@ -31,3 +31,12 @@ def test_unknown_chain_goes_by_its_first_key(spark):
     d = lines(spark, [[f'{{"aa": "v{n}"}}' for n in range(4)], [f'{{"bb": "v{n}"}}' for n in range(4)], [f'{{"bb": "v{n}", "aa": "w{n}"}}' for n in range(4)]])
     rec = {r["record_id"]: r["other"] for r in drift.consistent_records(d).collect()}
     assert rec[100_001] == rec[200_001] == {"aa": "v1"} and rec[300_001] == {"aa": "v1", "aa@3": "w1"}
+
+
+def test_small_file_beside_a_large_one(spark):
+    word = lambda n: "".join(chr(97 + int(c)) for c in f"{n:06d}")
+    small = [f'{{"pq": "{word(n * 997)}", "owner": "{word(900_000 + n * 997)}"}}' for n in range(36)]
+    large = [f'{{"rs": "{word(n)}", "khatedar": "{word(900_000 + n)}"}}' for n in range(40_000)]
+    for files in ([small, large], [large, small]):
+        got = {(r["column_name"], r["change"]) for r in drift.drift_report(lines(spark, files)).collect()}
+        assert got == {(c, "renamed") for c in (("rs", "khatedar") if files[0] is small else ("pq", "owner"))}
