@@ -54,12 +54,18 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return p.join(broadcast_if_small(terms.select("term").distinct()), "term")
 
 
+def own_words(items: DataFrame) -> DataFrame:
+    """``item_id, own``: words of an item outside standing instructions."""
+    return items.filter("not standing").groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("own"))
+
+
 def anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """``item_id, pos, term`` of the rarest terms in every run of SPAN words."""
+    """``item_id, pos, term`` of the rarest terms in every run of SPAN words; of all words of an item shorter than LEAST_SPAN."""
     w = items.filter("not standing").join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     run = W.partitionBy("item_id").orderBy("pos").rowsBetween(0, SPAN - 1)
     rare = w.withColumn("r", F.sort_array(F.collect_list(F.struct("n", "pos")).over(run)))
-    picked = rare.select("item_id", F.explode(F.slice("r", 1, ANCHORS)).alias("x")).select("item_id", F.col("x.pos").alias("pos")).distinct()
+    rare = rare.join(broadcast_if_small(own_words(items)), "item_id")
+    picked = rare.select("item_id", F.explode(F.when(F.col("own") < LEAST_SPAN, F.col("r")).otherwise(F.slice("r", 1, ANCHORS))).alias("x")).select("item_id", F.col("x.pos").alias("pos")).distinct()
     return picked.join(w.select("item_id", "pos", "term"), ["item_id", "pos"])
 
 
@@ -71,7 +77,8 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = postings(docs, a).join(broadcast_if_small(a.select("term", "item_id", F.col("pos").alias("ipos"))), "term")
     per = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
     near = W.partitionBy("doc_id", "item_id").orderBy("offset").rangeBetween(-DRIFT, DRIFT)
-    return per.withColumn("around", F.sum("n").over(near)).filter((F.col("n") >= AT_OFFSET) & (F.col("around") >= NEARBY)).select("doc_id", "item_id", "offset")
+    per = per.withColumn("around", F.sum("n").over(near)).join(broadcast_if_small(own_words(items)), "item_id")
+    return per.filter((F.col("n") >= F.least(F.lit(AT_OFFSET), "own")) & (F.col("around") >= F.least(F.lit(NEARBY), "own"))).select("doc_id", "item_id", "offset")
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
@@ -125,10 +132,11 @@ def counts(span, found, score):
 
 @finished
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``item_id, doc_id, span, found, score`` of every document that holds a passage of an item.
+    """``item_id, doc_id, span, found, score, own`` of every document that holds a passage of an item.
 
     Null and empty texts hold nothing; repeated item rows count once. An item
-    shorter than LEAST_SPAN words counts where it is found whole.
+    shorter than LEAST_SPAN words counts where it is found whole: ``own`` is the
+    number of its words.
     """
     iw = cut(item_words(items))
     cand = cut(candidates(docs.select("doc_id", "text"), iw))
@@ -170,9 +178,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["item_id", "doc_id", "span", "found", "score"])
 
-    return found.mapInArrow(run, "item_id bigint, doc_id bigint, span int, found int, score int")
+    got = found.mapInArrow(run, "item_id bigint, doc_id bigint, span int, found int, score int")
+    return got.join(broadcast_if_small(own_words(iw)), "item_id")
 
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``item_id, doc_id`` of the leaks that count."""
-    return leaks(docs, items).filter(counts(F.col("span"), F.col("found"), F.col("score"))).select("item_id", "doc_id").distinct()
+    whole = (F.col("own") < LEAST_SPAN) & (F.col("found") == F.col("own")) & (F.col("score") == F.col("own"))
+    return leaks(docs, items).filter(counts(F.col("span"), F.col("found"), F.col("score")) | whole).select("item_id", "doc_id").distinct()

@@ -36,3 +36,9 @@ def test_no_passages():
             assert not leakage.counts(*leakage.align(np.array(item), np.array([-1] * 20 + other + [-1] * 20)))
     for n in range(3, 9):
         assert not leakage.counts(*leakage.align(np.arange(40), np.array([-1] * 20 + list(range(10, 10 + n)) + [-1] * 20)))
+
+
+def test_short_items_count_where_they_are_whole(spark):
+    items = spark.createDataFrame([(1, "only three words"), (2, "alpha beta gamma delta epsilon zeta eta"), (3, "solo pair")], "item_id long, text string")
+    docs = [(10, "so Only three, words stood here"), (11, "only three other words"), (12, "x alpha beta gamma delta epsilon zeta eta y"), (13, "alpha beta gamma delta zeta eta"), (14, "a solo pair"), (15, "pair solo")]
+    assert {tuple(r) for r in leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()} == {(1, 10), (2, 12), (3, 14)}
