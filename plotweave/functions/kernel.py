@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import functions as F, types as T
 
 #: Edge pairs worked on at once; bounds the memory of a batch (about 100 bytes each).
@@ -101,6 +102,124 @@ def overlap_area(a: str, abox: str, b: str, bbox: str):
     return _overlap_area(a, *corner(abox), b, *corner(bbox))
 
 
+# ----------------------------------------------------------------- outlines
+
+BOX = T.StructType([T.StructField(f, T.DoubleType()) for f in ("xmin", "ymin", "xmax", "ymax")])
+
+
+def rings_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Points (n, 2) of all usable rings of a column of parts, and start, row and place in its part of each ring.
+
+    Null and NaN points don't count; a ring of fewer than three points is left
+    out. Outer rings come counter-clockwise and holes clockwise, from the first
+    point given.
+    """
+    if isinstance(parts, pa.ChunkedArray):
+        parts = parts.combine_chunks()
+    # flatten() skips what lies under a null; offsets are rebuilt from the lengths
+    size = lambda a: np.asarray(pa.compute.fill_null(pa.compute.list_value_length(a), 0)).astype(np.int64)
+    polygons = parts.flatten()
+    rings = polygons.flatten()
+    points = rings.flatten()
+    row = np.repeat(np.arange(len(parts)), size(parts))
+    k = size(polygons)
+    place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    row = np.repeat(row, k)
+    n = size(rings)
+    xy = np.column_stack([np.asarray(pa.compute.fill_null(pa.compute.struct_field(points, f), np.nan), dtype=float) for f in (0, 1)]).reshape(-1, 2)
+    ring = np.repeat(np.arange(len(n)), n)
+    ok = ~np.isnan(xy).any(axis=1)
+    n = np.bincount(ring[ok], minlength=len(n))
+    ok &= (n >= 3)[ring]
+    xy, n, row, place = xy[ok], n[n >= 3], row[n >= 3], place[n >= 3]
+    start = np.cumsum(n) - n
+    if not len(n):
+        return xy, start, row, place
+    ring, at = np.repeat(np.arange(len(n)), n), np.arange(len(xy)) - np.repeat(start, n)
+    turned = (twice_signed(xy, start, n) >= 0) != (place == 0)
+    back = np.where(turned[ring] & (at > 0), n[ring] - at, at)
+    return xy[start[ring] + back], start, row, place
+
+
+def twice_signed(xy: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Twice the signed area of each ring, from its first point so that large northings cost no digits."""
+    d = xy - np.repeat(xy[start], n, axis=0)
+    nxt = _next(start, n)
+    return np.add.reduceat(d[:, 0] * d[nxt, 1] - d[nxt, 0] * d[:, 1], start)
+
+
+def _next(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Index of each point's successor in its ring."""
+    nxt = np.arange(1, n.sum() + 1)
+    nxt[start + n - 1] = start
+    return nxt
+
+
+def _outline(kind, measures: bool):
+    fields = [T.StructField("area", T.DoubleType()), T.StructField("bbox", BOX), T.StructField("pack", T.ArrayType(kind))]
+    if measures:
+        fields += [T.StructField(f, T.DoubleType()) for f in ("perimeter", "cx", "cy")]
+    to = pa.float32() if isinstance(kind, T.FloatType) else pa.float64()
+
+    @F.arrow_udf(T.StructType(fields))
+    def run(parts: pa.Array) -> pa.Array:
+        rows = len(parts)
+        xy, start, row, place = rings_of(parts)
+        n = np.diff(np.append(start, len(xy)))
+        some = np.zeros(rows, bool)
+        some[row] = True
+        area, box, per, mid = np.zeros(rows), np.zeros((rows, 4)), np.zeros(rows), np.zeros((rows, 2))
+        sizes = np.zeros(rows, np.int64)
+        flat = np.empty(0)
+        if len(n):
+            first = np.flatnonzero(np.diff(np.concatenate([[-1], row])))  # a row's first ring
+            own = row[first]
+            lo, hi = np.minimum.reduceat(xy, start[first]), np.maximum.reduceat(xy, start[first])
+            box[own] = np.concatenate([lo, hi], axis=1)
+            twice = twice_signed(xy, start, n)
+            area[own] = np.abs(np.add.reduceat(twice, first)) / 2
+            pos = xy - np.repeat(box[row, :2], n, axis=0)
+            if measures:
+                nxt = _next(start, n)
+                per[own] = np.add.reduceat(np.hypot(*(pos[nxt] - pos).T), start[first])
+                k = (pos[:, 0] * pos[nxt, 1] - pos[nxt, 0] * pos[:, 1])[:, None]
+                moment = np.add.reduceat((pos + pos[nxt]) * k, start[first])
+                whole = np.add.reduceat(k[:, 0], start[first])
+                mean = np.add.reduceat(pos, start[first]) / np.add.reduceat(n, first)[:, None]
+                thin = np.abs(whole) <= 1e-9
+                mid[own] = box[own, :2] + np.where(thin[:, None], mean, moment / (3 * np.where(thin, 1.0, whole))[:, None])
+            flat = np.full((len(xy) + len(n), 2), np.nan)
+            flat[np.arange(len(xy)) + np.repeat(np.arange(len(n)), n)] = pos
+            flat = flat.reshape(-1)
+            sizes[own] = 2 * np.add.reduceat(n + 1, first)
+        none = pa.array(~some)
+        bbox = pa.StructArray.from_arrays([pa.array(box[:, i].copy()) for i in range(4)], ["xmin", "ymin", "xmax", "ymax"], mask=none)
+        pack = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, to, from_pandas=False))
+        cols = [pa.array(area), bbox, pack]
+        if measures:
+            cols += [pa.array(per), pa.array(mid[:, 0].copy(), mask=~some), pa.array(mid[:, 1].copy(), mask=~some)]
+        return pa.StructArray.from_arrays(cols, [f.name for f in fields])
+
+    return run
+
+
+_float_outline, _measured_outline = _outline(T.FloatType(), False), _outline(T.DoubleType(), True)
+
+
+def outline(geom):
+    """``STRUCT<area, bbox, pack>`` of a geometry column; see geometry.packed for the pack.
+
+    One vectorised pass, where the same in array expressions is interpreted point
+    by point. Null, empty and broken geometry: area 0, no box, an empty pack.
+    """
+    return _float_outline(F.col(geom).getField("parts") if isinstance(geom, str) else geom.getField("parts"))
+
+
+def measured_outline(geom):
+    """``outline`` in doubles with ``perimeter, cx, cy``, the centroid being that of the area (of the points if there is none)."""
+    return _measured_outline(F.col(geom).getField("parts") if isinstance(geom, str) else geom.getField("parts"))
+
+
 # ---------------------------------------------------------------- triangles
 
 

@@ -1,26 +1,26 @@
 """What changed between full snapshots of a table of outlines.
 
 Structures are followed by place, not by fid: rows of consecutive snapshots
-are linked where their outlines have an IoU of 0.55 or more. A link chain is
-the structure's key; gaps and islands over key and state give validity
-intervals, and the intervals' starts, ends and adjacencies are the events.
+are linked where their outlines have an IoU of 0.55 or more, and a chain of
+links is the structure's key. Every row carries a hash of its state. Gaps and
+islands over key and hash give validity intervals; their starts, ends and
+adjacencies are the events.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from ..common import broadcast_if_small, ceil_log2, clean_fid, cut, finished
-from ..functions import geometry as g
-from ..functions.kernel import overlap_area
+from ..common import BROADCAST_ROWS, broadcast_if_small, ceil_log2, clean_fid, cut, finished, salted_pair
+from ..functions import geometry as g, kernel
 from .spatial import grid_pairs
 
 #: Outlines with this IoU are one structure.
 SAME_IOU = 0.55
 #: Square metres and metres from which a difference counts.
 LEAST_AREA, LEAST_RISE = 8.0, 2.6
-#: Grid cell in metres, about twice a structure's width.
-CELL = 48.0
+#: Grid cell in metres, about four times a structure's width: outlines are repeated for few cells.
+CELL = 96.0
 
 
 def epochs(df: DataFrame, col: str = "epoch") -> list[str]:
@@ -48,39 +48,57 @@ def current_rows(buildings: DataFrame) -> DataFrame:
     collapse and the choice never depends on order. A null time is earlier than
     any. Outlines are packed before the shuffle.
     """
-    rows = identified(buildings).withColumn("edges", g.edges("geom")).withColumn("bbox", g.edges_bbox("edges"))
-    rows = rows.select("fid", "epoch", "turn", F.struct("height_m", g.edges_area("edges").alias("area"), "bbox", g.packed("edges", "bbox").alias("pack")).alias("r"))
+    rows = identified(buildings).withColumn("o", kernel.outline("geom")).select("fid", "epoch", "turn", F.struct("height_m", "o.*").alias("r"))
     return rows.groupBy("fid", "epoch").agg(F.max_by("r", "turn").alias("r")).select("fid", "epoch", "r.*")
 
 
-def outline_states(buildings: DataFrame, order: list[str]) -> DataFrame:
-    """Current rows with their snapshot's number and ``id``, which copies of an outline in a snapshot share."""
+def outline_states(buildings: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct outlines of each snapshot, and who shares one.
+
+    Outlines: ``id, no, fid, height_m, area, bbox, pack, shape, state``, where ``no``
+    is the snapshot's number, ``shape`` a hash of the outline and ``state`` one of
+    outline and height. Rows of a snapshot with the same outline are one, under
+    the smallest fid; ``id, fid, height_m`` of all of them are the second table,
+    or it is None.
+    """
     no = F.coalesce(*[F.when(F.col("epoch") == e, F.lit(i)) for i, e in enumerate(order)]) if order else F.lit(0)
     shape = F.when(F.size("pack") > 0, F.xxhash64("pack", "bbox")).otherwise(F.xxhash64("fid"))
-    rows = cut(current_rows(buildings).withColumn("no", no).withColumn("shape", shape).drop("epoch"))
-    # copies of an outline within a snapshot pair as one; they are few, so the narrow count finds them
-    copies = cut(rows.groupBy("no", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("fid").alias("first")).filter("n > 1").drop("n"))
-    rows = rows.join(broadcast_if_small(copies), ["no", "shape"], "left") if not copies.isEmpty() else rows.withColumn("first", F.lit(None).cast("string"))
-    return rows.withColumn("id", F.concat_ws("|", F.col("no").cast("string"), F.coalesce("first", "fid"))).drop("shape", "first")
+    rows = current_rows(buildings).withColumn("no", no).withColumn("shape", shape).drop("epoch")
+    rows = cut(rows.withColumn("state", F.xxhash64("shape", "height_m")).withColumn("id", F.monotonically_increasing_id()))
+    shared = cut(rows.groupBy("no", "shape").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    if shared.isEmpty():
+        return rows, None
+    own = cut(rows.join(broadcast_if_small(shared), ["no", "shape"]).select("no", "shape", "id", "fid", "height_m"))
+    first = own.groupBy("no", "shape").agg(F.min(F.struct("fid", "id")).alias("f"), (F.count_distinct(F.coalesce("height_m", F.lit(-1e9))) > 1).alias("mixed"))
+    first = first.select("no", "shape", F.col("f.id").alias("rep"), "mixed")
+    own, first_, on = salted_pair(own, first, ["no", "shape"])
+    own = cut(own.join(first_, on).select(F.col("rep").alias("id"), F.col("id").alias("mine"), "fid", "height_m", "mixed"))
+    rows = rows.join(broadcast_if_small(own.filter("mine <> id").select(F.col("mine").alias("id"))), "id", "left_anti")
+    # copies of unlike height: their outline counts as changed in each snapshot, so that each copy is looked at
+    mixed = own.filter("mixed").select("id", F.lit(True).alias("mixed")).distinct()
+    rows = rows.join(broadcast_if_small(mixed), "id", "left").withColumn("state", F.when(F.col("mixed"), F.xxhash64("state", "no")).otherwise(F.col("state"))).drop("mixed")
+    return rows, own.select("id", "fid", "height_m")
 
 
 def links(outlines: DataFrame) -> DataFrame:
-    """``(id, prev, iou, primary)``: the best earlier outline of each outline, IoU of SAME_IOU or more.
+    """``id, prev, best, primary``: outlines of consecutive snapshots with an IoU of SAME_IOU or more.
 
-    ``primary`` marks the one later outline that carries the earlier one's key on.
+    ``best`` marks the best earlier outline of each outline, and ``primary`` the one
+    later outline that carries the earlier one's key on.
     """
-    o = outlines.select("id", "no", "pack", "area", "bbox")
+    o = outlines.select("id", "no", "shape", "pack", "area", "bbox")
     later = o.withColumn("pno", F.col("no") - 1).drop("no")
-    earlier = o.select(F.col("id").alias("prev"), F.col("no").alias("pno"), F.col("pack").alias("ppack"), F.col("area").alias("parea"), "bbox")
+    earlier = o.select(F.col("id").alias("prev"), F.col("no").alias("pno"), F.col("shape").alias("pshape"), F.col("pack").alias("ppack"), F.col("area").alias("parea"), "bbox")
     pairs = grid_pairs(later, earlier, CELL, keys=("pno",))
     # the boxes alone bound the overlap, so most neighbours never reach the kernel
     side = lambda lo, hi: F.least(f"bbox.{hi}", f"rbox.{hi}") - F.greatest(f"bbox.{lo}", f"rbox.{lo}")
     bound = F.least(side("xmin", "xmax") * side("ymin", "ymax"), "area", "parea")
     pairs = pairs.filter(bound >= SAME_IOU / (1 + SAME_IOU) * (F.col("area") + F.col("parea")) - 1e-6)
-    scored = pairs.withColumn("iou", g.iou(overlap_area("pack", "bbox", "ppack", "rbox"), "area", "parea")).filter(F.col("iou") >= SAME_IOU)
-    best = scored.groupBy("id").agg(F.max(F.struct("iou", F.col("prev"))).alias("b"), F.collect_set("prev").alias("claims"))
-    best = best.select("id", "b.prev", "b.iou", "claims")
-    return best.withColumn("primary", F.row_number().over(W.partitionBy("prev").orderBy(F.desc("iou"), "id")) == 1)
+    scored = pairs.withColumn("iou", g.iou(kernel.overlap_area("pack", "bbox", "ppack", "rbox"), "area", "parea")).filter(F.col("iou") >= SAME_IOU)
+    scored = scored.select("id", "prev", "iou", "shape", "pshape")
+    scored = scored.withColumn("best", F.row_number().over(W.partitionBy("id").orderBy(F.desc("iou"), "pshape")) == 1)
+    first = F.row_number().over(W.partitionBy("prev").orderBy(F.desc("best"), F.desc("iou"), "shape")) == 1
+    return scored.withColumn("primary", F.col("best") & first).select("id", "prev", "best", "primary")
 
 
 def structure_keys(outlines: DataFrame, link: DataFrame, n_epochs: int) -> DataFrame:
@@ -91,70 +109,93 @@ def structure_keys(outlines: DataFrame, link: DataFrame, n_epochs: int) -> DataF
     return up
 
 
-def intervals(buildings: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Validity intervals ``key, fid_first, fid_last, start_no, end_no, kind, area, delta_sqm, matched_fid, gone``.
+def keyed_states(outlines: DataFrame, link: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, no, state, ghost`` and ``r``: every outline under its structure's key.
 
-    A row opens an interval if its structure wasn't there before or its state
-    differs from the row before by LEAST_AREA or LEAST_RISE; others extend one.
+    Where two outlines continue one, or one continues two, the key can go one way
+    only. The other way gets the neighbour's state under its own key as a ghost,
+    so that its interval is adjacent to something and neither begins nor ends.
     """
-    order = epochs(buildings)
-    rows = outline_states(buildings, order)
-    outlines = rows.filter(F.col("id") == F.concat_ws("|", F.col("no").cast("string"), "fid"))
-    link = cut(links(outlines))
-    keys = structure_keys(outlines, link, len(order))
-    claimed = link.select(F.explode("claims").alias("id")).distinct().withColumn("claimed", F.lit(True))
-    prev = rows.groupBy(F.col("id").alias("prev")).agg(F.min(F.struct(F.col("fid"), F.col("area"), F.col("height_m"))).alias("p"))
-    now = rows.select("id", "no", "fid", "area", "height_m").join(link.select("id", "prev"), "id", "left").join(prev, "prev", "left")
-    now = now.join(keys, "id").join(claimed, "id", "left")
-    d = F.col("area") - F.col("p.area")
-    kind = (
-        F.when(F.col("prev").isNull(), "new")
-        .when(d >= LEAST_AREA, "extended")
-        .when(d <= -LEAST_AREA, "reduced")
-        .when(F.col("height_m") - F.col("p.height_m") >= LEAST_RISE, "heightened")
-    )
-    now = now.withColumn("kind", kind).withColumn("delta_sqm", F.when(F.col("prev").isNull(), F.col("area")).otherwise(d))
-    # copies of an outline run side by side under the same key: the n-th copy continues the n-th
-    now = now.withColumn("copy", F.row_number().over(W.partitionBy("key", "no").orderBy("fid")))
-    w = W.partitionBy("key", "copy").orderBy("no")
-    gap = F.col("kind").isNotNull() | F.coalesce(F.col("no") - F.lag("no").over(w) != 1, F.lit(True))
-    now = now.withColumn("island", F.sum(gap.cast("int")).over(w))
-    out = now.groupBy("key", "copy", "island").agg(
-        F.min_by(F.struct("fid", "kind", "delta_sqm", F.col("p.fid").alias("matched_fid")), "no").alias("f"),
-        F.max_by(F.struct("fid", "area", "claimed"), "no").alias("l"),
-        F.min("no").alias("start_no"),
-        F.max("no").alias("end_no"),
-    )
-    return (
-        out.select(
-            "key", F.col("f.fid").alias("fid_first"), F.col("l.fid").alias("fid_last"), "start_no", "end_no", F.col("f.kind").alias("kind"),
-            F.col("l.area").alias("area"), F.col("f.delta_sqm").alias("delta_sqm"), F.col("f.matched_fid").alias("matched_fid"), F.col("l.claimed").isNull().alias("gone"),
-        ),
-        order,
+    r = F.struct("id", "fid", "area", "height_m")
+    rows = outlines.select("id", "no", "state", r.alias("r")).join(keys, "id")
+    out = rows.select("key", "no", "state", F.lit(False).alias("ghost"), "r")
+    before = link.filter("best and not primary").select(F.col("id").alias("to"), F.col("prev").alias("id"), F.lit(0).alias("later"))
+    after = link.groupBy("prev").agg(F.max("primary").alias("goes_on")).filter("not goes_on").select(F.lit(None).cast("long").alias("to"), F.col("prev").alias("id"), F.lit(1).alias("later"))
+    ghosts = cut(before.unionByName(after))
+    if ghosts.isEmpty():
+        return out
+    g_ = rows.join(broadcast_if_small(ghosts), "id")
+    return out.unionByName(g_.select(F.coalesce("to", "key").alias("key"), (F.col("no") + F.col("later")).alias("no"), "state", F.lit(True).alias("ghost"), "r"))
+
+
+def validity(states: DataFrame) -> DataFrame:
+    """Validity intervals ``key, start_no, end_no, first, last, from_ghost, to_ghost``: gaps and islands over key and state.
+
+    ``first`` and ``last`` are the rows at an interval's ends.
+    """
+    w = W.partitionBy("key").orderBy("no")
+    begins = F.coalesce((F.col("no") - F.lag("no").over(w) != 1) | (F.col("state") != F.lag("state").over(w)), F.lit(True))
+    d = states.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(w))
+    d = d.groupBy("key", "island").agg(
+        F.min("no").alias("start_no"), F.max("no").alias("end_no"), F.min_by(F.struct("r.*", "ghost"), "no").alias("first"), F.max_by(F.struct("r.*", "ghost"), "no").alias("last")
     )
+    return d.select("key", "start_no", "end_no", "first", "last", F.col("first.ghost").alias("from_ghost"), F.col("last.ghost").alias("to_ghost"))
+
+
+def interval_events(iv: DataFrame, n_epochs: int) -> DataFrame:
+    """``at, ends, id, fid, height_m, area, was``: interval starts after the first snapshot, and ends that nothing adjoins.
+
+    ``was`` is the last row of the interval that adjoins a start, null if none does.
+    """
+    w = W.partitionBy("key").orderBy("start_no")
+    prior = F.lag(F.struct("end_no", "last")).over(w)
+    d = iv.withColumn("prior", prior).withColumn("next_no", F.lead("start_no").over(w))
+    was = F.when(F.col("prior.end_no") == F.col("start_no") - 1, F.col("prior.last"))
+    row = lambda at, ends, r, w_: F.struct(at.alias("at"), F.lit(ends).alias("ends"), *[F.col(f"{r}.{c}").alias(c) for c in ("id", "fid", "height_m", "area")], w_.alias("was"))
+    start = F.when(~F.col("from_ghost") & (F.col("start_no") > 0), row(F.col("start_no"), False, "first", was))
+    alone = F.coalesce(F.col("next_no") != F.col("end_no") + 1, F.lit(True))
+    end = F.when(~F.col("to_ghost") & (F.col("end_no") < n_epochs - 1) & alone, row(F.col("end_no") + 1, True, "last", F.lit(None).cast(d.select(was).schema[0].dataType)))
+    # both events of an interval at once: two branches would compute the intervals twice
+    return d.select(F.explode(F.filter(F.array(start, end), lambda e: e.isNotNull())).alias("e")).select("e.*")
 
 
 @finished
 def snapshot_changes(buildings: DataFrame) -> DataFrame:
     """Change events ``epoch, kind, fid, matched_fid, delta_sqm`` between consecutive snapshots.
 
-    ``new``, ``extended``, ``reduced`` and ``heightened`` come from interval
-    starts after the first snapshot, ``demolished`` from ends before the last
-    one, under the earlier fid. A null height gives no ``heightened``; a row
-    without outline is ``new`` or ``demolished`` only. No rows for an empty table
-    or a single snapshot.
+    An interval that starts where none adjoins is ``new``; one that ends where
+    none adjoins is ``demolished``, under the earlier fid. Where two adjoin, the
+    change of area, else of height, says ``extended``, ``reduced``, ``heightened`` or
+    nothing. A null height gives no ``heightened``; a row without outline is ``new``
+    or ``demolished`` only. Each of several fids with one outline gets its event.
+    No rows for an empty table or a single snapshot.
     """
-    iv, order = intervals(buildings)
-    name = F.element_at(F.array(*[F.lit(e) for e in order] or [F.lit("")]), F.col("at") + 1)
-    none = lambda t: F.lit(None).cast(t)
-    start = F.when(
-        (F.col("start_no") > 0) & F.col("kind").isNotNull(),
-        F.struct(F.col("start_no").alias("at"), F.col("kind").alias("kind"), F.col("fid_first").alias("fid"), F.col("matched_fid").alias("matched_fid"), F.col("delta_sqm").alias("delta_sqm")),
-    )
-    end = F.when(
-        F.col("gone") & (F.col("end_no") < len(order) - 1),
-        F.struct((F.col("end_no") + 1).alias("at"), F.lit("demolished").alias("kind"), F.col("fid_last").alias("fid"), none("string").alias("matched_fid"), (-F.col("area")).alias("delta_sqm")),
+    order = epochs(buildings)
+    outlines, copies = outline_states(buildings, order)
+    link = cut(links(outlines))
+    ev = interval_events(validity(keyed_states(outlines, link, structure_keys(outlines, link, len(order)))), len(order))
+    if copies is not None:
+        ev = _of_all_copies(ev, copies)
+    d = F.col("area") - F.col("was.area")
+    kind = (
+        F.when(F.col("ends"), "demolished")
+        .when(F.col("was").isNull(), "new")
+        .when(d >= LEAST_AREA, "extended")
+        .when(d <= -LEAST_AREA, "reduced")
+        .when(F.col("height_m") - F.col("was.height_m") >= LEAST_RISE, "heightened")
     )
-    # both events of an interval at once: two branches would compute the intervals twice
-    ev = iv.select(F.explode(F.filter(F.array(start, end), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    return ev.withColumn("epoch", name).drop("at").select("epoch", "kind", "fid", "matched_fid", "delta_sqm")
+    name = F.element_at(F.array(*[F.lit(e) for e in order] or [F.lit("")]), F.col("at") + 1)
+    delta = F.when(F.col("ends"), -F.col("area")).otherwise(F.coalesce(d, "area"))
+    return ev.select(name.alias("epoch"), kind.alias("kind"), "fid", F.col("was.fid").alias("matched_fid"), delta.alias("delta_sqm")).filter("kind is not null")
+
+
+def _of_all_copies(ev: DataFrame, copies: DataFrame) -> DataFrame:
+    """Events of an outline for each fid that shares it."""
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    own = copies.select("id", F.col("fid").alias("own"), F.col("height_m").alias("own_height"))
+    mine = lambda d: d.withColumn("height_m", F.when(F.col("own").isNotNull(), F.col("own_height")).otherwise(F.col("height_m"))).withColumn("fid", F.coalesce("own", "fid")).drop("own", "own_height")
+    if few:
+        return mine(ev.join(F.broadcast(own), "id", "left"))
+    ev = cut(ev)
+    many, one, on = salted_pair(own, ev, ["id"])
+    return mine(many.join(one, on)).select(ev.columns).unionByName(ev.join(copies.select("id").distinct(), "id", "left_anti"))
