@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..common import clean_fid, finished
-from ..functions import crs, geometry as g
+from ..functions import crs, geometry as g, kernel
 from .snapshots import identified
 from .spatial import near_pairs, points_in_regions, region_overlaps
 
@@ -57,10 +57,10 @@ def encroachments(buildings: DataFrame, govt: DataFrame, least_area: float = LEA
     hits are then held against the narrow list of each fid's current delivery.
     """
     rows = identified(buildings)
-    o = rows.withColumn("edges", g.edges("geom")).select("fid", "epoch", F.to_json("turn").alias("t"), g.packed("edges", g.edges_bbox("edges")).alias("pack"), g.edges_bbox("edges").alias("bbox"))
-    hits = region_overlaps(o, regions(govt), ["fid", "epoch", "t"], least_area)
-    now = rows.groupBy("fid", "epoch").agg(F.to_json(F.max("turn")).alias("t"))
-    return now.join(hits, ["fid", "epoch", "t"]).select("fid", "epoch", "region", "area")
+    o = rows.withColumn("o", kernel.outline("geom")).select("fid", "epoch", F.col("turn.loaded_at").alias("at"), F.col("turn.h").alias("h"), "o.pack", "o.bbox")
+    hits = region_overlaps(o, regions(govt), ["fid", "epoch", "at", "h"], least_area)
+    now = rows.groupBy("fid", "epoch").agg(F.max("turn").alias("t")).select("fid", "epoch", F.col("t.loaded_at").alias("now"), F.col("t.h").alias("h"))
+    return now.join(hits, ["fid", "epoch", "h"]).filter(F.col("at").eqNullSafe(F.col("now"))).select("fid", "epoch", "region", "area")
 
 
 @finished

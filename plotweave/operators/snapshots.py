@@ -58,8 +58,8 @@ def outline_states(buildings: DataFrame, order: list[str]) -> tuple[DataFrame, D
     Outlines: ``id, no, fid, height_m, area, bbox, pack, shape, state``, where ``no``
     is the snapshot's number, ``shape`` a hash of the outline and ``state`` one of
     outline and height. Rows of a snapshot with the same outline are one, under
-    the smallest fid; ``id, fid, height_m`` of all of them are the second table,
-    or it is None.
+    the smallest fid and with the greatest height; ``id, fid, height_m`` of all of
+    them are the second table, or it is None.
     """
     no = F.coalesce(*[F.when(F.col("epoch") == e, F.lit(i)) for i, e in enumerate(order)]) if order else F.lit(0)
     shape = F.when(F.size("pack") > 0, F.xxhash64("pack", "bbox")).otherwise(F.xxhash64("fid"))
@@ -69,14 +69,16 @@ def outline_states(buildings: DataFrame, order: list[str]) -> tuple[DataFrame, D
     if shared.isEmpty():
         return rows, None
     own = cut(rows.join(broadcast_if_small(shared), ["no", "shape"]).select("no", "shape", "id", "fid", "height_m"))
-    first = own.groupBy("no", "shape").agg(F.min(F.struct("fid", "id")).alias("f"), (F.count_distinct(F.coalesce("height_m", F.lit(-1e9))) > 1).alias("mixed"))
-    first = first.select("no", "shape", F.col("f.id").alias("rep"), "mixed")
+    first = own.groupBy("no", "shape").agg(F.min(F.struct("fid", "id")).alias("f"), (F.count_distinct(F.coalesce("height_m", F.lit(-1e9))) > 1).alias("mixed"), F.max("height_m").alias("top"))
+    first = first.select("no", "shape", F.col("f.id").alias("rep"), F.when(F.col("mixed"), F.struct("top")).alias("mixed"))
     own, first_, on = salted_pair(own, first, ["no", "shape"])
     own = cut(own.join(first_, on).select(F.col("rep").alias("id"), F.col("id").alias("mine"), "fid", "height_m", "mixed"))
     rows = rows.join(broadcast_if_small(own.filter("mine <> id").select(F.col("mine").alias("id"))), "id", "left_anti")
-    # copies of unlike height: their outline counts as changed in each snapshot, so that each copy is looked at
-    mixed = own.filter("mixed").select("id", F.lit(True).alias("mixed")).distinct()
-    rows = rows.join(broadcast_if_small(mixed), "id", "left").withColumn("state", F.when(F.col("mixed"), F.xxhash64("state", "no")).otherwise(F.col("state"))).drop("mixed")
+    # copies of unlike height: their outline is as tall as the tallest, and counts as changed in each snapshot, so that each copy is looked at
+    mixed = own.filter("mixed is not null").select("id", "mixed").distinct()
+    odd = F.col("mixed").isNotNull()
+    rows = rows.join(broadcast_if_small(mixed), "id", "left").withColumn("state", F.when(odd, F.xxhash64("state", "no")).otherwise(F.col("state")))
+    rows = rows.withColumn("height_m", F.when(odd, F.col("mixed.top")).otherwise(F.col("height_m"))).drop("mixed")
     return rows, own.select("id", "fid", "height_m")
 
 

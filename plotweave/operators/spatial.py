@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..common import HOT_ROWS, cut, salted_pair, spread
 from ..functions import kernel
 
-#: Triangle centres from which the top of the hierarchy is split; bounds the driver's part.
-TREE_SAMPLE = 20_000
-#: Triangles a leaf should hold, and the most leaves; beyond that, leaves hold more.
-LEAF_TRIANGLES, MAX_LEAVES = 64, 2_048
+#: Triangle centres from which the top of the hierarchy is split at least, and for each leaf.
+TREE_SAMPLE, LEAF_SAMPLE = 20_000, 8
+#: Triangles a leaf should hold, leaves up to which that is so, and triangles that a task may meet at once:
+#: beyond so many leaves they grow to FULL_LEAF, then their number grows, one for each FULL_LEAF triangles.
+LEAF_TRIANGLES, SMALL_LEAVES, FULL_LEAF = 64, 2_048, 100_000
 
 
 def cells(bbox: Column, size: float, reach: float = 0.0) -> Column:
@@ -103,6 +104,7 @@ class VolumeTree:
         self._split(centres, max(1, leaves))
         self.axis, self.at, self.kids, self.leaf = np.array(self.axis), np.array(self.at, float), np.array(self.kids).reshape(-1, 2), np.array(self.leaf)
         self.names, self.volumes = np.empty(0, int), kernel.Boxes(np.empty((0, 4)))
+        self.parts: dict[int, int] = {}
 
     def _split(self, c: np.ndarray, leaves: int) -> int:
         me = len(self.axis)
@@ -173,24 +175,45 @@ def triangulate(regions: DataFrame, fid: str = "fid", geom: str = "geom") -> Dat
     return spread(regions.filter(F.col(fid).isNotNull()).select(F.col(fid).alias("region"), F.col(geom).alias("g"))).mapInArrow(run, TRIANGLE)
 
 
-def volume_tree(tri: DataFrame, leaf_triangles: int = LEAF_TRIANGLES) -> tuple[VolumeTree, DataFrame]:
+def volume_tree(tri: DataFrame, leaf_triangles: int = LEAF_TRIANGLES, full_leaf: int = FULL_LEAF) -> tuple[VolumeTree, DataFrame]:
     """The hierarchy over triangles, and the triangles with their leaf.
 
-    The driver sees TREE_SAMPLE centres and one box a leaf, MAX_LEAVES at most.
+    The driver sees a sample of centres and one box a leaf: a hundred-thousandth
+    of the triangles, when they are many.
     """
     n = tri.count()
+    leaves = min(-(-n // leaf_triangles), max(SMALL_LEAVES, -(-2 * n // full_leaf)))
     x, y = (F.col("ax") + F.col("bx") + F.col("cx")) / 3, (F.col("ay") + F.col("by") + F.col("cy")) / 3
-    rows = tri.select(x.alias("x"), y.alias("y")).orderBy(F.xxhash64("x", "y")).limit(TREE_SAMPLE).collect()
-    tree = VolumeTree(np.array(rows, dtype=float).reshape(-1, 2), min(MAX_LEAVES, -(-n // leaf_triangles)))
+    sample = max(TREE_SAMPLE, LEAF_SAMPLE * leaves)
+    some = tri if n <= sample else tri.filter(F.xxhash64(*tri.columns) < int(2**64 * (sample / n)) - 2**63)
+    rows = some.select(x.alias("x"), y.alias("y")).limit(2 * sample).collect()
+    tree = VolumeTree(np.array(sorted(rows), dtype=float).reshape(-1, 2), leaves)
     tri = tree.placed(tri, x, y)
     lo = lambda a: F.min(F.least(f"a{a}", f"b{a}", f"c{a}"))
     hi = lambda a: F.max(F.greatest(f"a{a}", f"b{a}", f"c{a}"))
-    boxes = tri.groupBy("leaf").agg(lo("x").alias("x0"), lo("y").alias("y0"), hi("x").alias("x1"), hi("y").alias("y1")).orderBy("leaf").collect()
-    boxes = np.array(boxes, dtype=float).reshape(-1, 5)
-    tree.names, tree.volumes = boxes[:, 0].astype(int), kernel.Boxes(boxes[:, 1:])
+    boxes = tri.groupBy("leaf").agg(lo("x").alias("x0"), lo("y").alias("y0"), hi("x").alias("x1"), hi("y").alias("y1"), F.count(F.lit(1)).alias("n")).orderBy("leaf").collect()
+    boxes = np.array(boxes, dtype=float).reshape(-1, 6)
+    tree.names, tree.volumes = boxes[:, 0].astype(int), kernel.Boxes(boxes[:, 1:5])
+    tree.parts = {int(leaf): int(-(-k // full_leaf)) for leaf, k in boxes[:, [0, 5]] if k > full_leaf}
     return tree, tri
 
 
+def met(queries: DataFrame, tri: DataFrame, tree: VolumeTree) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Queries and triangles by the group in which they meet.
+
+    Leaves with many queries are salted. A leaf over its bound, as stacked copies
+    of a triangle make one, is cut into parts and its queries go to each.
+    """
+    on = ["leaf"]
+    if tree.parts:
+        cut_ = F.broadcast(tri.sparkSession.createDataFrame(list(tree.parts.items()), "leaf int, __parts int"))
+        part = F.coalesce("__parts", F.lit(1))
+        tri = tri.join(cut_, "leaf", "left").withColumn("__part", F.pmod(F.xxhash64(*tri.columns), part).cast("int")).drop("__parts")
+        queries = queries.join(cut_, "leaf", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), part - 1))).drop("__parts")
+        on = ["leaf", "__part"]
+    return salted_pair(queries, tri, on)
+
+
 def _tri_arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     p = np.column_stack([np.asarray(t.column(c), dtype=float) for c in ("ax", "ay", "bx", "by", "cx", "cy")]).reshape(-1, 3, 2)
     return p, np.concatenate([p.min(axis=1), p.max(axis=1)], axis=1).reshape(-1, 4)
@@ -201,35 +224,47 @@ def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
 
     Regions are triangulated, triangles spread over the leaves of a volume
     hierarchy, points sent to their one leaf, and tested there exactly through
-    a local hierarchy. A point on a boundary belongs to the region with the
-    smallest fid of those it touches, unless it lies strictly inside one. Leaves
-    with many points are salted. Points without position have no rows.
+    a local hierarchy. A point lies strictly inside a region whose triangles
+    surround it: a triangle adds a full turn around a point inside it, half a
+    turn around one on its edge, and its angle at its corner. A point on a
+    boundary belongs to the region with the smallest fid of those it touches,
+    unless it lies strictly inside one. Points without position have no rows.
     """
     tree, tri = volume_tree(cut(triangulate(regions)))
     p = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("fid").isNotNull()).select("fid", "x", "y").distinct()
     p = cut(tree.reached(p, (F.col("x"), F.col("y"), F.col("x"), F.col("y"))))
-    p, t, on = salted_pair(p, tri, ["leaf"])
+    p, t, on = met(p, tri, tree)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tri, boxes = _tri_arrays(right)
         x, y = np.asarray(left.column("x"), dtype=float), np.asarray(left.column("y"), dtype=float)
         q, b = kernel.Boxes(boxes).hits(np.column_stack([x, y, x, y]))
-        p = np.column_stack([x[q], y[q]])
-        sides = []
-        for k in range(3):
-            a, c = tri[b, k], tri[b, (k + 1) % 3]
-            sides.append((c[:, 0] - a[:, 0]) * (p[:, 1] - a[:, 1]) - (c[:, 1] - a[:, 1]) * (p[:, 0] - a[:, 0]))
-        least = np.min(sides, axis=0) if len(q) else np.empty(0)
-        ok = least >= 0
-        q, b = pa.array(q[ok]), pa.array(b[ok])
-        return pa.table({"fid": left.column("fid").take(q), "region": right.column("region").take(b), "strict": pa.array(least[ok] > 0)})
-
-    found = p.groupBy(*on).cogroup(t.groupBy(*on)).applyInArrow(run, "fid string, region string, strict boolean")
-    each = found.groupBy("fid", "region").agg((F.max("strict") | (F.count(F.lit(1)) > 1)).alias("strict"))
+        turn = _turn(np.column_stack([x[q], y[q]]), tri[b])
+        ok = turn > 0
+        return pa.table({"fid": left.column("fid").take(pa.array(q[ok])), "region": right.column("region").take(pa.array(b[ok])), "turn": pa.array(turn[ok])})
+
+    found = p.groupBy(*on).cogroup(t.groupBy(*on)).applyInArrow(run, "fid string, region string, turn double")
+    each = found.groupBy("fid", "region").agg((F.sum("turn") > 1 - 1e-6).alias("strict"))
     per = each.groupBy("fid").agg(F.max("strict").alias("any_strict"), F.min("region").alias("least"))
     return each.join(per, "fid").filter(F.col("strict") | (~F.col("any_strict") & (F.col("region") == F.col("least")))).select("fid", "region")
 
 
+def _turn(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Share of a full turn around each point that its counter-clockwise triangle takes; 0 if it doesn't touch the point."""
+    if not len(p):
+        return np.empty(0)
+    nxt = np.roll(tri, -1, axis=1)
+    d, v = nxt - tri, p[:, None] - tri
+    side = d[..., 0] * v[..., 1] - d[..., 1] * v[..., 0]
+    zero = side == 0
+    # edges k - 1 and k meet in corner k
+    corner = zero & np.roll(zero, 1, axis=1)
+    back = np.roll(tri, 1, axis=1) - tri
+    angle = np.arctan2(d[..., 0] * back[..., 1] - d[..., 1] * back[..., 0], (d * back).sum(axis=2)) / (2 * np.pi)
+    at = np.where(corner.any(axis=1), np.where(corner, angle, 0).sum(axis=1), np.where(zero.any(axis=1), 0.5, 1.0))
+    return np.where((side >= 0).all(axis=1), at, 0.0)
+
+
 def region_overlaps(outlines: DataFrame, regions: DataFrame, keys: list[str], least_area: float) -> DataFrame:
     """``keys + (region, area)``: overlap of each outline with each region, from ``least_area`` on.
 
@@ -240,8 +275,8 @@ def region_overlaps(outlines: DataFrame, regions: DataFrame, keys: list[str], le
     tree, tri = volume_tree(cut(triangulate(regions)))
     b = outlines.filter(F.col("bbox").isNotNull()).select(*keys, "pack", "bbox.*")
     b = cut(tree.reached(b, tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).dropDuplicates([*keys, "leaf"]))
-    b, t, on = salted_pair(b, tri, ["leaf"])
-    schema = ", ".join(f"{k} string" for k in keys) + ", region string, area double"
+    schema = T.StructType([*[b.schema[k] for k in keys], T.StructField("region", T.StringType()), T.StructField("area", T.DoubleType())])
+    b, t, on = met(b, tri, tree)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tri, boxes = _tri_arrays(right)

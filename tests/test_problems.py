@@ -40,6 +40,17 @@ def test_copies_of_an_outline(spark):
     assert len(got) == 30 and {r["kind"] for r in got} == {"extended"}
 
 
+def test_outlines_that_part_and_join(spark):
+    """Two outlines continue one, and one continues two: neither side is new or demolished."""
+    rows = [
+        ("B00000001", "t0", box(0, 0, 10, 10), 3.0, 1), ("B00000001", "t1", box(0, 0, 10, 9.5), 3.0, 1), ("B00000002", "t1", box(0, 0, 10, 8.5), 3.0, 1), ("B00000002", "t2", box(0, 0, 10, 8.5), 3.0, 1), ("B00000001", "t2", box(0, 0, 10, 9.5), 3.0, 1),
+        ("B00000003", "t0", box(50, 0, 10, 10), 3.0, 1), ("B00000004", "t0", box(50, 0, 10, 8), 3.0, 1), ("B00000003", "t1", box(50, 0, 10, 10), 3.0, 1),
+        ("B00000005", "t0", box(90, 0, 10, 10), 3.0, 1), ("B00000006", "t0", box(90, 0, 10, 10), 8.0, 1), ("B00000005", "t1", box(90, 0, 10, 10), 3.0, 1), ("B00000006", "t1", box(90, 0, 10, 10), 8.0, 1), ("B00000005", "t2", box(90, 0, 10, 10), 3.0, 1),
+    ]
+    got = {(r["epoch"], r["kind"], r["fid"], r["matched_fid"]) for r in snapshots.snapshot_changes(buildings(spark, rows)).collect()}
+    assert got == {("t1", "reduced", "B00000002", "B00000001"), ("t2", "demolished", "B00000003", None)}
+
+
 def test_relations(spark):
     pts = [("S00000001", 250005.0, 2300005.0, None, None), ("S00000002", 2300015.0, 250005.0, None, None), ("S00000003", 0.0, 0.0, None, None), ("S00000004", -9999.0, -9999.0, None, None), ("S00000005", None, None, 0.0, 0.0), ("S00000001", 250005.0, 2300005.0, None, None), ("S00000006", 250055.0, 2300055.0, None, None), ("S00000007", 250010.0, 2300005.0, None, None), (None, 250005.0, 2300005.0, None, None)]
     points = spark.createDataFrame(pts, "fid string, x double, y double, lon double, lat double")
@@ -55,6 +66,32 @@ def test_relations(spark):
     assert proximity.relations(points.limit(0), parcels.limit(0), govt.limit(0), b.limit(0)).count() == 0
 
 
+def test_corners_and_holes(spark):
+    from plotweave.operators import spatial
+
+    regions = [(f"P{i}{j}", box(10 * i, 10 * j, 10, 10)) for i in range(3) for j in range(3)]
+    notch = {"kind": "Polygon", "parts": [[[{"x": float(x), "y": float(y)} for x, y in ((100, 0), (120, 0), (120, 20), (110, 20), (110, 10), (100, 10))], box(112, 2, 4, 4)["parts"][0][0]]]}
+    r = spark.createDataFrame([*regions, ("N", notch)], f"fid string, geom {G}")
+    pts = {"corner": (10, 10), "edge": (15, 10), "rim": (0, 5), "in": (5, 5), "centre": (15, 15), "inner corner": (110, 10), "hole corner": (112, 2), "hole": (114, 4), "beside": (111, 12), "out": (105, 15)}
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in pts.items()], "fid string, x double, y double")
+    want = {"corner": ["P00"], "edge": ["P10"], "rim": ["P00"], "in": ["P00"], "centre": ["P11"], "inner corner": ["N"], "hole corner": ["N"], "beside": ["N"]}
+    got = {}
+    for x in spatial.points_in_regions(p, r).collect():
+        got.setdefault(x["fid"], []).append(x["region"])
+    assert got == want
+
+
+def test_stacked_regions_stay_bounded(spark):
+    from plotweave.operators import spatial
+
+    r = spark.createDataFrame([(f"P{i:03d}", box(0, 0, 10, 10)) for i in range(300)] + [("Q", box(50, 0, 10, 10))], f"fid string, geom {G}")
+    tree, tri = spatial.volume_tree(spatial.triangulate(r), 8, 50)
+    assert max(tree.parts.values()) >= 6
+    q, t, on = spatial.met(tree.reached(spark.createDataFrame([("a", 5.0, 5.5)], "fid string, x double, y double"), (F.col("x"), F.col("y"), F.col("x"), F.col("y"))), tri, tree)
+    assert t.groupBy(*on).count().agg(F.max("count")).head()[0] < 120
+    assert q.join(t, on).count() == tri.count() == 602
+
+
 def test_degrees_agree_with_metres(spark):
     d = spark.createDataFrame([("S00000197", None, None, 78.604654309, 20.785695317), ("S00000197", None, None, 20.785695317, 78.604654309)], "fid string, x double, y double, lon double, lat double")
     r = proximity.survey_positions(d).collect()
