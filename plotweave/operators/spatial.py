@@ -21,6 +21,8 @@ TREE_SAMPLE, LEAF_SAMPLE = 20_000, 8
 #: Triangles a leaf should hold, leaves up to which that is so, and triangles that a task may meet at once:
 #: beyond so many leaves they grow to FULL_LEAF, then their number grows, one for each FULL_LEAF triangles.
 LEAF_TRIANGLES, SMALL_LEAVES, FULL_LEAF = 64, 2_048, 100_000
+#: The same where outlines meet few regions: small leaves have tight volumes, so most outlines reach none.
+TIGHT_LEAF = 4
 
 
 def cells(bbox: Column, size: float, reach: float = 0.0) -> Column:
@@ -272,7 +274,7 @@ def region_overlaps(outlines: DataFrame, regions: DataFrame, keys: list[str], le
     tested against the region's triangles of the leaves its box meets; triangles
     of a region don't overlap, so their overlaps add up.
     """
-    tree, tri = volume_tree(cut(triangulate(regions)))
+    tree, tri = volume_tree(cut(triangulate(regions)), TIGHT_LEAF)
     b = outlines.filter(F.col("bbox").isNotNull()).select(*keys, "pack", "bbox.*")
     b = cut(tree.reached(b, tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).dropDuplicates([*keys, "leaf"]))
     schema = T.StructType([*[b.schema[k] for k in keys], T.StructField("region", T.StringType()), T.StructField("area", T.DoubleType())])
