@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import functools
 import math
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window as W
 
 #: A side is broadcast only if its measured size stays under this many rows.
 BROADCAST_ROWS = 50_000
@@ -20,12 +22,15 @@ HOT_ROWS = 20_000
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a folder of its own.
+    A session on one machine (tests, a laptop) that names none gets a folder of
+    its own; on a cluster a missing name is an error, as no other folder is
+    known to be shared.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
+    if sc.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plotweave-"))
     return sc.getCheckpointDir()
 
@@ -40,12 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/plotweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
+    if (call := _call.get()) is not None:
+        call.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plotweave_path = path
     return out
 
 
 _written: dict[str, SparkSession] = {}
+#: What the running operator wrote; each thread and each nested operator has a list of its own.
+_call: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("plotweave_call", default=None)
 
 
 def uncut(*dfs: DataFrame) -> None:
@@ -60,18 +69,26 @@ def finished(operator):
     """Write an operator's result, then delete all that it wrote on its way.
 
     For operators whose plan reads intermediate tables: without it they would
-    stay until the process ends.
+    stay until the process ends. The result itself stays until then, or until
+    ``uncut``.
     """
 
     @functools.wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
-        before = set(_written)
-        out = operator(*args, **kwargs)
-        if set(_written) == before:
-            return out
-        kept = cut(out)
-        for path in set(_written) - before - {kept._plotweave_path}:
-            _remove(path, _written.pop(path, None))
+        mine: list[str] = []
+        outer = _call.set(mine)
+        kept = None
+        try:
+            out = operator(*args, **kwargs)
+            kept = cut(out) if mine else out
+        finally:
+            _call.reset(outer)
+            result = getattr(kept, "_plotweave_path", None)
+            for path in mine:
+                if path != result and path in _written:
+                    _remove(path, _written.pop(path))
+        if result and (call := _call.get()) is not None:
+            call.append(result)
         return kept
 
     return run
@@ -132,6 +149,40 @@ def salted_pair(many: DataFrame, other: DataFrame, keys: list[str], rows: int =
     return a.drop("__salts"), b.drop("__salts"), [*keys, "__salt"]
 
 
+def in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """Rows with ``__part`` and ``__pos``: their range of the order, and their place in it.
+
+    Ranges are sorted apart, so no task sees all rows; the table is written,
+    since ranges come from a sample that another run might not repeat.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    return cut(d.withColumn("__part", F.shiftright("__id", 33)).withColumn("__pos", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id"))
+
+
+def offsets(ranges: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``__part`` and, for each name, the sum over all ranges before it: one row a range."""
+    per = ranges.groupBy("__part").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    return per.select("__part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Rows with their number from 1 in a total order, without one task that sees them all."""
+    d = in_ranges(df, order)
+    before = offsets(d, {"__n": F.lit(1).cast("long")})
+    return d.join(F.broadcast(before), "__part").withColumn(name, F.col("__pos") + F.col("__n") + 1).drop("__part", "__pos", "__n")
+
+
+def running_sums(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """Rows with running sums along a total order, the row itself included, range by range."""
+    d = in_ranges(df, order)
+    before = offsets(d, {f"__{k}": v for k, v in sums.items()})
+    w = W.partitionBy("__part").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumns({k: F.sum(v).over(w) for k, v in sums.items()}).join(F.broadcast(before), "__part")
+    return d.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", "__pos", *[f"__{k}" for k in sums])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -25,6 +25,8 @@ NAME_FOLDS = [
     (["kr", "kumar"], "kumar"),
     (["tiwary", "tiwari", "tewari"], "tiwari"),
 ]
+# Fixed value: son, wife or daughter of, in any spelling.
+RELATION = r"\b([swd])\s*[/\.]?\s*o\b"
 
 
 def col(c) -> Column:
@@ -34,7 +36,7 @@ def col(c) -> Column:
 def normalise_name(c) -> Column:
     """Name as compared: lower case, relation words as s/o, w/o, d/o, known spellings folded; "" for null."""
     s = F.lower(F.trim(F.coalesce(col(c).cast("string"), F.lit(""))))
-    s = F.regexp_replace(s, r"\b([swd])\s*[/\.]?\s*o\b", "$1/o")
+    s = F.regexp_replace(s, RELATION, "$1/o")
     s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9/\s]", " "), r"\s+", " "))
     for names, to in NAME_FOLDS:
         s = F.regexp_replace(s, r"\b(?:" + "|".join(names) + r")\b", to)
@@ -114,6 +116,7 @@ def name_similarity(a, b) -> dict[str, Column]:
     return {"name_jw": z(jaro_winkler(x, y)), "name_lev": z(levenshtein_ratio(x, y)), "name_tok": z(token_set_ratio(x, y)), "name_present": ok.cast("double")}
 
 
+# Fixed value: a plot number with its optional child and sub numbers.
 KHASRA = r"(\d+)(?:\s*/\s*(\d+))?(?:\s*-\s*(\d+))?"
 
 

@@ -58,13 +58,13 @@ def review(conflicts: DataFrame, conflict_id: str, role: str, action: str, reaso
     return {"actor": actor, "role": role, "action": action, "target": conflict_id, "reason": reason, "before": {"status": found["status"]}, "after": {"action": action}}
 
 
-def search(df: DataFrame, text: str, columns: list[str], owner: str | None, role: str, top: int = 6) -> DataFrame:
-    """Rows whose columns contain a text, whatever its case; owners count only for roles that see them."""
+def search(df: DataFrame, text: str, columns: list[str], owner: str | None, role: str, top: int = 6, order: list | None = None) -> DataFrame:
+    """The first rows, by ``order`` or the first column, whose columns contain a text, whatever its case; owners count only for roles that see them."""
     cols = [*columns, *([owner] if owner and VISIBLE[role] is None else [])]
     hit = F.lit(False)
     for c in cols:
         hit = hit | F.coalesce(F.lower(F.col(c).cast("string")).contains(text.lower()), F.lit(False))
-    return df.filter(hit).orderBy(columns[0]).limit(top)
+    return df.filter(hit).orderBy(*(order or columns[:1])).limit(top)
 
 
 def confidence_tier(c) -> F.Column:

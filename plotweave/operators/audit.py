@@ -8,6 +8,8 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Window as W
 
+from ..common import in_ranges
+
 GENESIS = "0" * 64
 FIELDS = ["seq", "ts", "actor", "role", "action", "target", "reason", "before", "after", "prev_hash"]
 SCHEMA = T.StructType([T.StructField("seq", T.LongType()), *[T.StructField(f, T.StringType()) for f in (*FIELDS[1:], "hash")]])
@@ -77,10 +79,13 @@ def build_chain(events: DataFrame, order: str, text: str, seed: str = GENESIS) -
 
 
 def checked(log: DataFrame) -> DataFrame:
-    """Each entry with ``link_ok`` and ``content_ok``; hashing is parallel, only the link looks back."""
-    h = log.withColumn("computed", content_hash(F.struct(*FIELDS)))
-    w = W.orderBy("seq")
-    return h.withColumn("expected", F.lag("hash", 1, GENESIS).over(w)).withColumn("link_ok", F.col("prev_hash") == F.col("expected")).withColumn("content_ok", F.col("computed") == F.col("hash"))
+    """Each entry with ``link_ok`` and ``content_ok``; ranges of the log are checked apart, and only their first links look back."""
+    h = in_ranges(log.withColumn("computed", content_hash(F.struct(*FIELDS))), ["seq"])
+    ends = h.groupBy("__part").agg(F.max_by("hash", "__pos").alias("end"))
+    before = ends.select("__part", F.lag("end", 1, GENESIS).over(W.orderBy("__part")).alias("end"))
+    h = h.join(F.broadcast(before), "__part").withColumn("expected", F.coalesce(F.lag("hash").over(W.partitionBy("__part").orderBy("__pos")), "end"))
+    h = h.withColumn("link_ok", F.col("prev_hash") == F.col("expected")).withColumn("content_ok", F.col("computed") == F.col("hash"))
+    return h.drop("__part", "__pos", "end")
 
 
 def verify(log: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..common import cut, spread
-from ..functions import geometry as g, shapes, text as t
+from ..functions import geometry as g, kernel, shapes, text as t
 from ..functions.kernel import overlap_area
 from .spatial import grid_pairs
 
@@ -16,18 +16,20 @@ SEARCH_RADIUS, MAX_PER_SOURCE = 18.0, 18
 
 def prepared(layer: DataFrame) -> DataFrame:
     """Layer with ``pack, bbox, area, perimeter, cx, cy, n_vertices``, computed once on all cores and kept."""
-    d = g.measured(spread(layer), "geom")
-    return cut(d.withColumn("pack", g.packed("edges", "bbox", "double")).withColumn("n_vertices", g.vertex_count("geom")).drop("edges"))
+    d = spread(layer).withColumn("__o", kernel.measured_outline("geom")).select("*", "__o.*").drop("__o")
+    return cut(d.withColumn("n_vertices", g.vertex_count("geom")))
 
 
-def block(src: DataFrame, tgt: DataFrame, radius: float = SEARCH_RADIUS, top: int = MAX_PER_SOURCE, cell: float | None = None) -> DataFrame:
-    """``src, tgt`` pairs whose boxes meet after growing the source's by ``radius``; the best ``top`` a source.
+def block(src: DataFrame, tgt: DataFrame, radius: float = SEARCH_RADIUS, top: int | None = MAX_PER_SOURCE, cell: float | None = None) -> DataFrame:
+    """``src, tgt`` pairs whose boxes meet after growing the source's by ``radius``; the best ``top`` a source, or all.
 
     Over ``top`` candidates, overlapping ones rank first by shared box area, then
     nearer ones; ties by target. Both sides come from ``prepared``.
     """
     side = lambda d, n: d.select(F.col("fid").alias(n), "bbox", F.col("cx").alias(f"{n}_x"), F.col("cy").alias(f"{n}_y"))
     p = grid_pairs(side(src, "src"), side(tgt, "tgt"), cell or 2 * radius + 30, radius)
+    if top is None:
+        return p.select("src", "tgt")
     lap = lambda v: F.least(f"bbox.{v}max", f"rbox.{v}max") - F.greatest(f"bbox.{v}min", f"rbox.{v}min")
     inter = F.when((lap("x") > 0) & (lap("y") > 0), lap("x") * lap("y")).otherwise(0.0)
     d2 = F.pow(F.col("src_x") - F.col("tgt_x"), 2) + F.pow(F.col("src_y") - F.col("tgt_y"), 2)
@@ -55,6 +57,7 @@ def context(pairs: DataFrame) -> DataFrame:
     return d.withColumn("rev_iou_rank", F.row_number().over(W.partitionBy("tgt").orderBy(F.desc("iou"), "src")) - 1)
 
 
+# The features' names in the order in which a matcher sees them.
 FEATURES = [
     "iou", "sym_diff_norm", "centroid_dist", "centroid_dist_norm", "area_ratio", "hausdorff_norm", "sig_dist", "src_frac_in_tgt", "tgt_frac_in_src", "d_compactness",
     "d_rectangularity", "d_elongation", "vertex_ratio", "name_jw", "name_lev", "name_tok", "name_present", "kh_exact", "kh_parent", "kh_child", "kh_present", "area_attr_ratio",
@@ -131,17 +134,19 @@ def _nearest_small(s: DataFrame, tg: DataFrame, k: int) -> DataFrame:
     return s.mapInArrow(run, "src string, tgt string, dist double, rank int")
 
 
-def nearest(src: DataFrame, tgt: DataFrame, k: int, cell: float) -> DataFrame:
+def nearest(src: DataFrame, tgt: DataFrame, k: int, cell: float, small: int = SMALL_TARGETS) -> DataFrame:
     """``src, tgt, dist, rank``: the k nearest targets of each source by centre, ties by target.
 
     Both have fid, x, y. Rings of cells are searched outwards: a source that has
     k targets within the searched reach is settled; only the rest go on with a
-    reach twice as large. Sources without any x or y have no rows.
+    reach twice as large, until all are settled. Rows without a finite x and y
+    have no neighbours and are none.
     """
-    s = src.select(F.col("fid").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")).filter("sx is not null and sy is not null")
-    tg = cut(tgt.select(F.col("fid").alias("tgt"), F.col("x").alias("tx"), F.col("y").alias("ty")).filter("tx is not null and ty is not null"))
+    finite = lambda *c: ~F.isnan(sum((F.col(x) - F.col(x) for x in c), F.lit(0.0)))
+    s = src.select(F.col("fid").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")).filter(finite("sx", "sy"))
+    tg = cut(tgt.select(F.col("fid").alias("tgt"), F.col("x").alias("tx"), F.col("y").alias("ty")).filter(finite("tx", "ty")))
     n = tg.count()
-    if n <= SMALL_TARGETS:
+    if n <= small:
         return _nearest_small(s, tg, k)
     out, open_, size = None, cut(s), cell
     while n and not open_.isEmpty():
@@ -156,6 +161,4 @@ def nearest(src: DataFrame, tgt: DataFrame, k: int, cell: float) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         open_ = cut(open_.join(found.select("src").distinct(), "src", "left_anti"))
         size *= 2
-        if size > 1e9:
-            break
     return out if out is not None else s.select("src", F.lit("").alias("tgt"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).limit(0)

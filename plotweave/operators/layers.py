@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..common import global_rank
 from ..functions import crs, geometry as g
 
 
@@ -51,8 +52,8 @@ def to_lonlat(layer: DataFrame, zone: int = 44) -> DataFrame:
 
 
 def numbered(layer: DataFrame, order: list, prefix: str, width: int = 4, name: str = "id") -> DataFrame:
-    """Ids by rank in an order; the rank runs in one task, so this is for result lists, not whole layers."""
-    return layer.withColumn(name, F.format_string(f"{prefix}%0{width}d", F.row_number().over(W.orderBy(*order))))
+    """Ids by rank in an order."""
+    return global_rank(layer, order, "__k").withColumn(name, F.format_string(f"{prefix}%0{width}d", "__k")).drop("__k")
 
 
 def extent(layer: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from ..common import broadcast_if_small
 from ..functions import text as t
 
 #: Fields a legal record decides.
@@ -19,8 +20,8 @@ def source_weight(accuracy="accuracy_m", vintage="vintage", now: int = NOW) -> C
 
 
 def weighted(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Claims (fid, field, value, source_id, confidence, pos) with their source's weight; sources are a small table."""
-    d = claims.join(F.broadcast(sources.select("source_id", "accuracy_m", "vintage", "authority")), "source_id")
+    """Claims (fid, field, value, source_id, confidence, pos) with their source's weight."""
+    d = claims.join(broadcast_if_small(sources.select("source_id", "accuracy_m", "vintage", "authority")), "source_id")
     return d.withColumn("w", source_weight()).withColumn("lawful", F.coalesce(F.array_contains("authority", F.col("field")), F.lit(False)))
 
 
@@ -46,10 +47,10 @@ def numeric_fusion(d: DataFrame) -> DataFrame:
 
 
 def vote(d: DataFrame) -> DataFrame:
-    """``fid, field, value, share, n_keys`` of the folded value with most weight; the first one wins ties."""
+    """``fid, field, value, share, n_keys`` of the folded value with most weight, to six places; ties go to the first, then by the folded value."""
     conf = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 1.0).otherwise(F.col("confidence"))
     b = d.groupBy("fid", "field", t.normalise_key("value").alias("key")).agg(F.sum(F.col("w") * conf).alias("w"), F.min(F.struct("pos", "value")).alias("first"))
-    g = b.groupBy("fid", "field").agg(F.sum("w").alias("total"), F.max(F.struct(F.round("w", 6).alias("w"), -F.col("first.pos"), F.col("first.value").alias("value"), "key")).alias("b"), F.count(F.lit(1)).alias("n_keys"), F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("weights"))
+    g = b.groupBy("fid", "field").agg(F.sum("w").alias("total"), F.min(F.struct(-F.round("w", 6), "first.pos", "key", F.col("first.value").alias("value"), "w")).alias("b"), F.count(F.lit(1)).alias("n_keys"), F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("weights"))
     return g.select("fid", "field", F.col("b.value").alias("value"), F.col("b.key").alias("key"), (F.col("b.w") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0)).alias("share"), "n_keys", "weights", "total")
 
 

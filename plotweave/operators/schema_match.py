@@ -24,6 +24,10 @@ LEXICON = {
 LEAST, CONTAINS = 0.45, 0.92
 
 
+# Shapes of a plot number, a ward code, a relation word and a record number.
+SHAPES = {"khasra_like": r"^\s*\d+\s*(/\s*\d+)?\s*(-\s*\d+)?\s*$", "ward_like": r"^[A-Za-z]{0,3}[-_ ]?\d{1,3}$", "rel_marker": r"\b[swd]\s*[/.]?\s*o\b", "alpha_num_fixed": r"^[A-Za-z0-9]{10,20}$"}
+
+
 def column_profile(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, rows, n, fill, unique_ratio, numeric_ratio, mean_tokens, mean_len, khasra_like, ward_like, rel_marker, alpha_num_fixed``.
 
@@ -39,8 +43,7 @@ def column_profile(records: DataFrame, columns: list[str] | None = None) -> Data
     return d.groupBy("column").agg(
         F.count(F.lit(1)).alias("rows"), n.alias("n"), (n / F.count(F.lit(1))).alias("fill"), F.when(n > 0, F.count_distinct(v) / n).otherwise(0.0).alias("unique_ratio"),
         avg(t.as_number(v).isNotNull()).alias("numeric_ratio"), avg(F.size(F.split(v, r"\s+"))).alias("mean_tokens"), avg(F.length(v)).alias("mean_len"),
-        avg(v.rlike(r"^\s*\d+\s*(/\s*\d+)?\s*(-\s*\d+)?\s*$")).alias("khasra_like"), avg(v.rlike(r"^[A-Za-z]{0,3}[-_ ]?\d{1,3}$")).alias("ward_like"),
-        avg(F.lower(v).rlike(r"\b[swd]\s*[/.]?\s*o\b")).alias("rel_marker"), avg(v.rlike(r"^[A-Za-z0-9]{10,20}$")).alias("alpha_num_fixed"),
+        *[avg((F.lower(v) if k == "rel_marker" else v).rlike(p)).alias(k) for k, p in SHAPES.items()],
     )
 
 

@@ -10,12 +10,13 @@ that prevail in the ward.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..common import DEVANAGARI_DIGITS, broadcast_if_small, clean_fid
-from ..functions import geometry as g
+from ..functions import kernel
 
 # Square metres per unit.
 AREA_UNITS = {
@@ -73,9 +74,13 @@ def _ngrams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 1, F.lit(1))), lambda i: F.substring(padded, i, 2)))
 
 
+def _weight(ch: str) -> float:
+    return 0.25 if ch == " " else 0.5 if ch in "aeiouािीुूेैोौंँ़्" else 1.0
+
+
 def _cost(a: str, b: str) -> float:
     """Edit distance in which vowels, doubled letters and blanks cost less, and the first letter more."""
-    weight = lambda ch: 0.25 if ch == " " else 0.5 if ch in "aeiouािीुूेैोौंँ़्" else 1.0
+    weight = _weight
     row = [0.0]
     for ch in b:
         row.append(row[-1] + weight(ch))
@@ -90,9 +95,21 @@ def _cost(a: str, b: str) -> float:
     return row[-1]
 
 
+def relative_cost(a: str, b: str, most: float = ACCEPT) -> float:
+    """Edit cost per letter of the longer text; infinite where the surplus letters alone cost more than ``most``.
+
+    A surplus letter is dropped, at half its weight if it is doubled, or changed
+    at its weight or more; so a long remark never reaches the table of costs.
+    """
+    letters = max(len(a.replace(" ", "")), len(b.replace(" ", "")), 1)
+    ca, cb = Counter(a), Counter(b)
+    surplus = max(sum(_weight(ch) * n for ch, n in (x - y).items()) for x, y in ((ca, cb), (cb, ca)))
+    return math.inf if surplus / 2 > most * letters else _cost(a, b) / letters
+
+
 @F.arrow_udf(T.DoubleType())
 def _relative_cost(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([_cost(x, y) / max(len(x.replace(" ", "")), len(y.replace(" ", "")), 1) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    return pa.array([relative_cost(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
 def unit_dictionary(spellings: DataFrame) -> DataFrame:
@@ -105,7 +122,7 @@ def unit_dictionary(spellings: DataFrame) -> DataFrame:
     """
     spark = spellings.sparkSession
     names = spark.createDataFrame([(a, u) for u, al in ALIASES.items() for a in al], "alias string, unit string")
-    s = spellings.filter(F.col("spelling").isNotNull() & (F.col("spelling") != "") & (F.length("spelling") <= 40)).distinct()
+    s = spellings.filter(F.col("spelling").isNotNull() & (F.col("spelling") != "")).distinct()
     index = names.withColumn("gram", F.explode(_ngrams(F.col("alias"))))
     post = s.withColumn("gram", F.explode(_ngrams(F.col("spelling"))))
     hits = post.join(F.broadcast(index), "gram").groupBy("spelling", "alias", "unit").agg(F.count(F.lit(1)).alias("shared"))
@@ -213,7 +230,7 @@ def legacy_areas(legacy: DataFrame) -> DataFrame:
     Repeated rows of a fid collapse.
     """
     rows = legacy.select(
-        clean_fid("fid").alias("key"), F.col("AREA_BIGHA").alias("value"), F.col("AREA_NOTE").alias("note"), ward_key(F.col("WARD")).alias("ward"), g.edges_area(g.edges("geom")).alias("surveyed")
+        clean_fid("fid").alias("key"), F.col("AREA_BIGHA").alias("value"), F.col("AREA_NOTE").alias("note"), ward_key(F.col("WARD")).alias("ward"), kernel.outline("geom").getField("area").alias("surveyed")
     ).filter("key is not null and (value > 0 or (value is null and note is not null))")
     rows = rows.groupBy("key").agg(F.max(F.struct("value", "note", "surveyed", "ward")).alias("r")).select("key", "r.*")
     noted = noted_areas(rows.filter("note is not null"), ["key"], "note").withColumnRenamed("unit", "noted")

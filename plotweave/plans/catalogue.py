@@ -69,7 +69,7 @@ def target_layer(spark: SparkSession, d: str) -> DataFrame:
 def pairs_of(spark: SparkSession, d: str) -> DataFrame:
     """Pairs whose boxes meet, with overlap and IoU."""
     a, b = blocking.prepared(source_layer(spark, d)), blocking.prepared(target_layer(spark, d))
-    p = blocking.block(a, b, 0.0, 1_000_000, 40.0)
+    p = blocking.block(a, b, 0.0, None, 40.0)
     return blocking.pair_overlap(p, a, b).withColumn("iou", g.iou("inter", "src_area", "tgt_area"))
 
 
@@ -94,7 +94,7 @@ def layer_extent(spark, d):
 
 @query(f"WITH {BOXES} SELECT s.k AS src, t.k AS tgt FROM src s JOIN tgt t ON t.y<=s.y+s.h+18 AND t.y+t.h>=s.y-18 AND t.x<=s.x+s.w+18 AND t.x+t.w>=s.x-18")
 def block_range_join(spark, d):
-    p = blocking.block(blocking.prepared(source_layer(spark, d)), blocking.prepared(target_layer(spark, d)), 18.0, 1_000_000)
+    p = blocking.block(blocking.prepared(source_layer(spark, d)), blocking.prepared(target_layer(spark, d)), 18.0, None)
     return p.select(key("src", "src"), key("tgt", "tgt"))
 
 
@@ -314,7 +314,7 @@ def jaro_winkler(spark, d):
     return p.select("a", "b", r6(t.jaro_winkler("a", "b"), "jw"))
 
 
-KH = r"(\d+)(?:\s*/\s*(\d+))?(?:\s*-\s*(\d+))?"
+KH = t.KHASRA
 
 
 @query(f"""SELECT fid, khasra_no, TRY_CAST(nullif(regexp_extract(khasra_no,'{KH}',1),'') AS BIGINT) AS parent, TRY_CAST(nullif(regexp_extract(khasra_no,'{KH}',2),'') AS BIGINT) AS child, TRY_CAST(nullif(regexp_extract(khasra_no,'{KH}',3),'') AS BIGINT) AS sub FROM parcels""")
@@ -375,7 +375,7 @@ def claim_fusion(spark, d):
     return resolve.numeric_fusion(order_claims(spark, d, "area", "l_quantity")).select("fid", "k", r6("fused", "fused"), r6("sigma", "sigma"), r6("agreement", "agreement", 4))
 
 
-@query(CLAIMS_SQL + ", b AS (SELECT fid, lower(x) AS key, sum(w) AS w, min(pos) AS p, arg_min(x,pos) AS value FROM c GROUP BY fid, lower(x)), r AS (SELECT *, sum(w) OVER (PARTITION BY fid) AS total, count(*) OVER (PARTITION BY fid) AS n_keys, row_number() OVER (PARTITION BY fid ORDER BY round(w,6) DESC, p) AS r FROM b) SELECT fid, value, round(w/total,6) AS share, n_keys FROM r WHERE r=1")
+@query(CLAIMS_SQL + ", b AS (SELECT fid, lower(x) AS key, sum(w) AS w, min(pos) AS p, arg_min(x,pos) AS value FROM c GROUP BY fid, lower(x)), r AS (SELECT *, sum(w) OVER (PARTITION BY fid) AS total, count(*) OVER (PARTITION BY fid) AS n_keys, row_number() OVER (PARTITION BY fid ORDER BY round(w,6) DESC, p, key) AS r FROM b) SELECT fid, value, round(w/total,6) AS share, n_keys FROM r WHERE r=1")
 def claim_vote(spark, d):
     return resolve.vote(order_claims(spark, d, "land_use", "l_returnflag")).select("fid", "value", r6("share", "share"), "n_keys")
 
@@ -481,7 +481,7 @@ def ogc_page_counts(spark, d):
 @query("SELECT p_name, p_partkey FROM part WHERE lower(p_name) LIKE '%red%' OR lower(p_brand) LIKE '%red%' ORDER BY p_name, p_partkey LIMIT 6")
 def search_topk(spark, d):
     p = table(spark, d, "part").select("p_name", "p_partkey", "p_brand")
-    return access.search(p.orderBy("p_partkey"), "red", ["p_name", "p_brand"], None, "public", 1_000_000).orderBy("p_name", "p_partkey").limit(6).select("p_name", "p_partkey")
+    return access.search(p, "red", ["p_name", "p_brand"], None, "public", order=["p_name", "p_partkey"]).select("p_name", "p_partkey")
 
 
 @query("SELECT o_orderkey AS k, CASE WHEN (o_orderkey%101)/100.0e0>=0.95 THEN 'ok' WHEN (o_orderkey%101)/100.0e0>=0.7 THEN 'warn' ELSE 'critical' END AS tier FROM orders")
