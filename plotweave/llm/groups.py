@@ -85,7 +85,8 @@ def match_links(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rows whose relation is spurious link nothing but name their records. Null
     or empty targets and null elements name nothing.
     """
-    m = matches.select(clean_fid("src_fid").alias("a"), F.explode_outer("tgt_fids").alias("t"), F.lower(F.trim("relation")).alias("relation")).withColumn("b", clean_fid("t"))
+    m = matches.select(clean_fid("src_fid").alias("a"), F.explode_outer("tgt_fids").alias("t"), F.lower(F.trim("relation")).alias("relation")).select("a", clean_fid("t").alias("b"), "relation")
+    m = cut(m.distinct())  # fids are cleaned once
     nodes = m.select(F.explode(F.array("a", "b")).alias("v")).filter("v is not null").distinct()
     links = m.filter("a is not null and b is not null and a <> b and coalesce(relation, '') <> 'spurious'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return links, nodes
