@@ -1,7 +1,9 @@
-"""Minimum-cost one-to-one assignment on small dense matrices."""
+"""One-to-one assignment: of least cost on small dense matrices, of greatest gain on sparse pairs."""
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -43,3 +45,54 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
             owner[col] = owner[prev] if prev >= 0 else i
             col = prev
     return sorted((int(owner[j]), j) for j in range(m) if owner[j] >= 0)
+
+
+def sparse_assignment(left: np.ndarray, right: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of the one-to-one assignment with the greatest total gain; pairs without gain are never taken.
+
+    Rows may stay alone at no gain, as if each had a partner of its own. Rows
+    enter one by one, each along the shortest augmenting path of reduced costs:
+    memory is that of the pairs, and a search ends at the first free partner.
+    """
+    n_left, n_right = int(left.max(initial=-1)) + 1, int(right.max(initial=-1)) + 1
+    pairs: list[list[tuple[int, float, int]]] = [[] for _ in range(n_left)]
+    for at, (i, j, w) in enumerate(zip(left.tolist(), right.tolist(), gain.tolist(), strict=True)):
+        if w > 0:
+            pairs[i].append((j, -w, at))
+    for i in range(n_left):
+        pairs[i].append((n_right + i, 0.0, -1))
+    low = [min(c for _, c, _ in p) for p in pairs]
+    high = [0.0] * (n_right + n_left)
+    owner, mate = [-1] * (n_right + n_left), [(-1, -1)] * n_left
+    for i in range(n_left):
+        reach: dict[int, float] = {}
+        back: dict[int, tuple[int, int]] = {}
+        done: list[int] = []
+        seen: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, base = i, 0.0
+        while True:
+            for j, c, at in pairs[row]:
+                d = base + c - low[row] - high[j]
+                if j not in seen and d < reach.get(j, np.inf):
+                    reach[j], back[j] = d, (row, at)
+                    heapq.heappush(heap, (d, j))
+            while True:
+                base, j = heapq.heappop(heap)
+                if j not in seen and base == reach[j]:
+                    break
+            seen.add(j)
+            if owner[j] < 0:
+                break
+            done.append(j)
+            row = owner[j]
+        low[i] += base
+        for k in done:
+            low[owner[k]] += base - reach[k]
+            high[k] -= base - reach[k]
+        while True:
+            row, at = back[j]
+            owner[j], (j, _), mate[row] = row, mate[row], (j, at)
+            if row == i:
+                break
+    return np.array(sorted(at for _, at in mate if at >= 0), np.int64)
