@@ -327,7 +327,8 @@ def same_land(legacy: DataFrame, parcels: DataFrame) -> DataFrame:
     them. Records without any place, number and name pair with nothing; repeated
     rows of a fid collapse; empty tables give no rows.
     """
-    numbered = lambda d: cut(d.withColumn("id", F.monotonically_increasing_id()))
+    # numbers rise with fid, so that ties fall alike however the rows lie
+    numbered = lambda d: cut(d.repartitionByRange("fid").sortWithinPartitions("fid").withColumn("id", F.monotonically_increasing_id()))
     right0 = cut(canonical(parcels, "R"))
     north = right0.agg(F.avg("y").alias("__north"))
     right = numbered(located(right0, north))
