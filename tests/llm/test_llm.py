@@ -60,6 +60,33 @@ def test_currency_without_times(spark):
     assert got["P00000100"] == 100 and got["P00000003"] == 7
 
 
+def test_partial_orders(spark):
+    """Chains with gaps, cycles, and untimed values among timed ones."""
+    t = dt.datetime(2024, 1, 1)
+    seen = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("e", "f"), ("f", "g"), ("e", "g")] * 3
+    rows = [(1000 + 10 * i + k, f"P1{i:07d}", "tenure", v, "sat", t + dt.timedelta(k)) for i, p in enumerate(seen) for k, v in enumerate(p)]
+    groups_ = {
+        "P00000001": ([("a", None), ("d", None)], "d"),  # b and c are not there
+        "P00000002": ([("d", None), ("b", None), ("a", None)], "d"),
+        "P00000003": ([("d", None), ("x", None), ("y", None)], None),  # nothing orders the cycle and d
+        "P00000004": ([("w", None), ("y", None), ("x", None)], "w"),  # the cycle comes before w
+        "P00000005": ([("a", 5), ("c", None)], "c"),  # an untimed value after a timed one
+        "P00000006": ([("c", 1), ("d", 0), ("a", None)], "c"),  # own times go before what was learned
+        "P00000007": ([("e", 2), ("g", 1), ("f", None)], "e"),  # f between contradicts the times: tied, so the latest time
+        "P00000008": ([("q", None), ("p", 3)], "p"),  # nothing known
+    }
+    k = 0
+    for f, (vals, _) in groups_.items():
+        for v, at in vals:
+            k += 1
+            rows.append((k, f, "tenure", v, "sat", None if at is None else t + dt.timedelta(at)))
+    d = spark.createDataFrame(rows, "claim_id long, fid string, field string, value string, source_id string, claimed_at timestamp_ntz")
+    s = spark.createDataFrame(SOURCES, "source_id string, label string, accuracy_m double, vintage long, authority array<string>")
+    got = {r["fid"]: r["value"] for r in survivors.surviving_claims(d, s).collect()}
+    assert all(got[f] == want for f, (_, want) in groups_.items() if want), got
+    assert all(got[f"P1{i:07d}"] == p[1] for i, p in enumerate(seen))
+
+
 def test_tokens(spark):
     pytest.importorskip("tiktoken")
     texts = ["", None, "hello  world\n\n x", "<|endoftext|> नमस्ते 👩‍🌾", "a" * 3000, "word " * 40_000, " \t " * 900 + "x", "​ é"]
