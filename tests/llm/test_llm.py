@@ -122,13 +122,19 @@ def test_align():
     assert leakage.align(np.array([1]), np.array([2]))[2] == 0
 
 
-CHARS = abuse.CharModel.of({w: 50.0 for w in ["moron", "swine", "idiot", "kill", "road", "plot", "tax", "line", "stone", "map", "shithead"]})
+CHARS = abuse.CharModel.of_words({w: 50.0 for w in ["moron", "swine", "idiot", "kill", "road", "plot", "tax", "line", "stone", "map", "shithead", "you", "are", "an", "कमीना", "खेत", "सड़क"]})
 
 
 def test_restore():
-    for w, want in {"m0r0n": "moron", "$w1n3": "swine", "iiidiiiooot": "idiot", "i d i o t": "idiot", "s.h.i.t.h.e.a.d": "shithead", "id​iot": "idiot", "idiоt": "idiot", "W05": "w05", "plot 12/4": "plot 12/4"}.items():
-        assert abuse.restore(w, CHARS) == want
+    cases = {
+        "m0r0n": "moron", "$w1n3": "swine", "iiidiiiooot": "idiot", "i d i o t": "idiot", "s.h.i.t.h.e.a.d": "shithead", "id​iot": "idiot", "idiоt": "idiot", "W05": "w05", "plot 12/4": "plot 12/4",
+        "m-0-r-0-n": "moron", "i.d-i o.t": "idiot", "$ w 1 n 3": "swine", "m_o_r_o_n!": "moron!", "s.h-1.t h e a d": "shithead", "m*r*n": "moron", "m * r * n": "moron", "k i l l  m o r o n": "kill moron", "5.7 m": "5.7 m", "1.5 2.5 m": "1.5 2.5 m",
+        "क मी ना": "कमीना", "कककमीना": "कमीना", "क-मी-ना": "कमीना", "": "",
+    }
+    for w, want in cases.items():
+        assert abuse.restore(w, CHARS) == want, w
     assert abuse.sentences("") == [] and len(abuse.sentences("a " * 500)) > 10
+    assert abuse.restore("you are an i d i o t", CHARS) == "you are an idiot"
 
 
 def test_abuse_learns(spark):
