@@ -49,8 +49,8 @@ def item_words(items: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, doc_id, pos`` of the given terms in every document, whole texts."""
-    p = docs.filter("text is not null").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    """``term, doc_id, pos`` of the given terms in every document (doc_id, w), whole texts."""
+    p = docs.select("doc_id", F.posexplode("w").alias("pos", "term"))
     return p.join(broadcast_if_small(terms.select("term").distinct()), "term")
 
 
@@ -70,7 +70,7 @@ def anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, item_id, offset``: places where anchors of an item stand as they do in it."""
+    """``doc_id, item_id, offset``: places of documents (doc_id, w) where anchors of an item stand as they do in it."""
     vocabulary = items.filter("not standing").select("term").distinct()
     counts = cut(postings(docs, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     a = cut(anchors(items, counts))
@@ -132,14 +132,18 @@ def counts(span, found, score):
 
 @finished
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``item_id, doc_id, span, found, score, own`` of every document that holds a passage of an item.
+    """``item_id, doc_id, span, found, score, own`` of every document that may hold a passage of an item.
+
+    Left out are those with fewer of its words than a passage needs.
 
     Null and empty texts hold nothing; repeated item rows count once. An item
     shorter than LEAST_SPAN words counts where it is found whole: ``own`` is the
     number of its words.
     """
     iw = cut(item_words(items))
-    cand = cut(candidates(docs.select("doc_id", "text"), iw))
+    # texts are split into words once: the index, its counts and the alignment read them
+    split = cut(spread(docs.filter("text is not null").select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("w")))
+    cand = cut(candidates(split, iw))
     per = cand.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offset")).alias("at"))
     # the item set is fixed; it goes along with the code of the alignment
     rows = iw.orderBy("item_id", "pos").collect()
@@ -148,7 +152,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for r in rows:
         texts.setdefault(r["item_id"], []).append(-2 if r["standing"] else terms.setdefault(r["term"], len(terms)))
     packed = docs.sparkSession.sparkContext.broadcast((terms, {k: np.array(v) for k, v in texts.items()}))
-    found = spread(docs.filter("text is not null").select("doc_id", "text").join(per, "doc_id")).select("doc_id", words(F.col("text")).alias("w"), "at")
+    found = spread(split.join(per, "doc_id")).select("doc_id", "w", "at")
 
     def run(batches):
         terms, texts = packed.value
@@ -161,7 +165,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     spots.setdefault(x["item_id"], []).append(x["offset"])
                 for item, offs in spots.items():
                     t = texts[item]
-                    best = (0, 0, 0)
+                    own, best = t[t >= 0], (0, 0, 0)
                     offs.sort()
                     group = [offs[0], offs[0]]
                     groups = [group]
@@ -172,9 +176,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                         group[1] = o
                     for lo, hi in groups:
                         part = ids[max(0, lo - MARGIN) : max(0, hi + len(t) + MARGIN)]
-                        if len(part):
+                        # no alignment finds more words than both texts have
+                        if np.isin(own, part).sum() >= min(LEAST_FOUND, len(own)):
                             best = max(best, align(t, part), key=lambda x: (counts(*x), x[2]))
-                    out.append((item, d, *best))
+                    if best[1]:
+                        out.append((item, d, *best))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["item_id", "doc_id", "span", "found", "score"])
 
