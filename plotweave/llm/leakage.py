@@ -26,6 +26,11 @@ AT_OFFSET, NEARBY, DRIFT = 2, 3, 4
 LEAST_SPAN, LEAST_FOUND, SINGLE, LEAST_SCORE = 12, 9, 4, 7
 #: Weight of a found word in the alignment; a changed, missing or inserted one weighs 1 against it.
 FOUND = 2
+#: Weight that the best alignment of a passage has at least: nine words of a dozen found, one of them beyond changed
+#: ones, three changed or missing and three put in. An alignment below it is not followed any further.
+LEAST_WEIGHT = FOUND * (LEAST_FOUND - 1) - 2 * (LEAST_SPAN // SINGLE)
+#: Words that a task aligns at once.
+CELLS = 400_000
 #: Words of margin around a candidate's place in the document.
 MARGIN = 30
 
@@ -74,7 +79,8 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     vocabulary = items.filter("not standing").select("term").distinct()
     counts = cut(postings(docs, vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     a = cut(anchors(items, counts))
-    hits = postings(docs, a).join(broadcast_if_small(a.select("term", "item_id", F.col("pos").alias("ipos"))), "term")
+    # a document's postings stay together, so its offsets need no further shuffle
+    hits = postings(docs.repartition("doc_id"), a).join(broadcast_if_small(a.select("term", "item_id", F.col("pos").alias("ipos"))), "term")
     per = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
     near = W.partitionBy("doc_id", "item_id").orderBy("offset").rangeBetween(-DRIFT, DRIFT)
     per = per.withColumn("around", F.sum("n").over(near)).join(broadcast_if_small(own_words(items)), "item_id")
@@ -124,6 +130,33 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return span + ends, found, score - ends
 
 
+def best_weights(items: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
+    """Weight of the best local alignment of each pair of word sequences, as ``align`` finds it, many pairs at once."""
+    out = np.zeros(len(items), np.int32)
+    order = np.argsort([len(d) for d in docs], kind="stable")
+    at = 0
+    while at < len(order):
+        # pairs of like length together, so that little is padding
+        wide = len(docs[order[min(len(order), at + 4_000) - 1]])
+        pick = order[at : at + max(1, min(4_000, CELLS // (wide + 1)))]
+        at += len(pick)
+        m = max(len(docs[k]) for k in pick)
+        n = max(len(items[k]) for k in pick)
+        t, d = np.full((len(pick), n), -3, np.int32), np.full((len(pick), m), -4, np.int32)
+        for row, k in enumerate(pick):
+            t[row, : len(items[k])], d[row, : len(docs[k])] = items[k], docs[k]
+        steps = np.arange(m + 1, dtype=np.int16)
+        h = np.zeros((len(pick), m + 1), np.int16)
+        top = np.zeros(len(pick), np.int16)
+        for i in range(n):
+            row = np.maximum(h - 1, 0)
+            np.maximum(row[:, 1:], h[:, :-1] + np.where(d == t[:, i : i + 1], np.int16(FOUND), np.int16(-1)), out=row[:, 1:])
+            h = np.maximum.accumulate(row + steps, axis=1) - steps
+            np.maximum(top, h.max(axis=1), out=top)
+        out[pick] = top
+    return out
+
+
 def counts(span, found, score):
     """If a passage of these figures, numbers or columns, is a leak."""
     single = (SINGLE * (span - found) <= span) & (SINGLE * (2 * found - score - span) <= span)
@@ -134,7 +167,7 @@ def counts(span, found, score):
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``item_id, doc_id, span, found, score, own`` of every document that may hold a passage of an item.
 
-    Left out are those with fewer of its words than a passage needs.
+    Left out are those whose best alignment weighs less than any passage's.
 
     Null and empty texts hold nothing; repeated item rows count once. An item
     shorter than LEAST_SPAN words counts where it is found whole: ``own`` is the
@@ -157,7 +190,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches):
         terms, texts = packed.value
         for b in batches:
-            out: list[tuple] = []
+            pairs: list[tuple] = []
             for d, w, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 ids = np.fromiter((terms.get(x, -1) for x in w), np.int64, len(w))
                 spots: dict[int, list[int]] = {}
@@ -165,7 +198,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     spots.setdefault(x["item_id"], []).append(x["offset"])
                 for item, offs in spots.items():
                     t = texts[item]
-                    own, best = t[t >= 0], (0, 0, 0)
+                    own = t[t >= 0]
                     offs.sort()
                     group = [offs[0], offs[0]]
                     groups = [group]
@@ -178,9 +211,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                         part = ids[max(0, lo - MARGIN) : max(0, hi + len(t) + MARGIN)]
                         # no alignment finds more words than both texts have
                         if np.isin(own, part).sum() >= min(LEAST_FOUND, len(own)):
-                            best = max(best, align(t, part), key=lambda x: (counts(*x), x[2]))
-                    if best[1]:
-                        out.append((item, d, *best))
+                            pairs.append((item, d, t, part, min(LEAST_WEIGHT, FOUND * len(own))))
+            weight = best_weights([p[2] for p in pairs], [p[3] for p in pairs])
+            best: dict[tuple, tuple] = {}
+            for (item, d, t, part, least), w in zip(pairs, weight, strict=True):
+                if w >= least:
+                    best[item, d] = max(best.get((item, d), (0, 0, 0)), align(t, part), key=lambda x: (counts(*x), x[2]))
+            out = [(*k, *v) for k, v in best.items()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["item_id", "doc_id", "span", "found", "score"])
 

@@ -26,6 +26,27 @@ def test_planted_passages(n, changed, inserted):
     assert sum(got) >= 297
 
 
+def test_weights_of_many_at_once():
+    rng = np.random.default_rng(4)
+    items = [rng.integers(0, 30, rng.integers(1, 40)) for _ in range(300)]
+    docs = [rng.integers(0, 30, rng.integers(1, 90)) for _ in items]
+    for i, d, w in zip(items, docs, leakage.best_weights(items, docs), strict=True):
+        h = np.zeros((len(i) + 1, len(d) + 1), int)
+        for a in range(1, len(i) + 1):
+            for b in range(1, len(d) + 1):
+                h[a, b] = max(0, h[a - 1, b - 1] + (leakage.FOUND if i[a - 1] == d[b - 1] else -1), h[a - 1, b] - 1, h[a, b - 1] - 1)
+        assert w == h.max()
+    assert len(leakage.best_weights([], [])) == 0
+
+
+@pytest.mark.parametrize(("n", "changed", "inserted"), [(12, 3, 0), (12, 1, 3), (12, 3, 3), (14, 3, 0), (18, 4, 2)])
+def test_passages_weigh_enough(n, changed, inserted):
+    rng = random.Random(n + changed)
+    for _ in range(200):
+        item, doc = planted(rng, n, changed, inserted)
+        assert not leakage.counts(*leakage.align(item, doc)) or leakage.best_weights([item], [doc])[0] >= leakage.LEAST_WEIGHT
+
+
 def test_no_passages():
     rng = random.Random(5)
     for n in (14, 30):
