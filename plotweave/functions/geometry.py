@@ -256,3 +256,39 @@ def lonlat_area(geom) -> Column:
         return edges_area(e) * m_lat * m_lon
 
     return let(es, lambda e: F.when(F.size(e) > 0, body(e)).otherwise(0.0))
+
+
+def ring_length(ring) -> Column:
+    """Length of a ring or line of points, without the way back to its start."""
+    r = col(ring)
+    step = F.zip_with(r, F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.hypot(b.getField("x") - a.getField("x"), b.getField("y") - a.getField("y"))).otherwise(0.0))
+    return F.aggregate(step, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+
+
+def point_along(ring, distance) -> Column:
+    """``STRUCT<x, y>`` at a distance along a line of points; its ends beyond them, null for an empty one."""
+    r, d = col(ring), col(distance)
+    seg = F.zip_with(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.hypot(b.getField("x") - a.getField("x"), b.getField("y") - a.getField("y")).alias("n")))
+    zero = F.struct(F.greatest(d, F.lit(0.0)).cast("double").alias("left"), F.get(r, F.lit(0)).alias("p"))
+
+    def go(s: Column, e: Column) -> Column:
+        left, n, a, b = s.getField("left"), e.getField("n"), e.getField("a"), e.getField("b")
+        t = F.when(n > 0, F.least(left / n, F.lit(1.0))).otherwise(1.0)
+        on = lambda f: (a.getField(f) + (b.getField(f) - a.getField(f)) * t).alias(f)
+        return F.when(left <= 0, s).otherwise(F.struct((left - n).alias("left"), F.struct(on("x"), on("y")).alias("p")))
+
+    return F.when(F.size(r) > 0, F.aggregate(seg, zero, go).getField("p"))
+
+
+def register(spark) -> list[str]:
+    """The kernel as SQL functions of the session; their names.
+
+    ``geo_area(geom)``, ``geo_bbox(geom)``, ``geo_intersection_area(a, b)`` and
+    ``geo_iou(a, b)``; null and broken geometry has area 0 and no box.
+    """
+    from . import kernel
+
+    made = kernel.sql_functions()
+    for name, f in made.items():
+        spark.udf.register(name, f)
+    return sorted(made)

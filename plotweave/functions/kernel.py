@@ -388,3 +388,46 @@ class Boxes:
                 out_b.append(rb[ok])
             qi, ni = np.repeat(qi[~leaf], 2), self.kids[ni[~leaf]].reshape(-1)
         return (np.concatenate(out_q), np.concatenate(out_b)) if out_q else (np.empty(0, int), np.empty(0, int))
+
+
+# ---------------------------------------------------------------------- SQL
+
+
+def sql_functions() -> dict:
+    """Functions over whole geometries, for SQL; the DataFrame operators pack outlines once instead."""
+    parts = lambda g: pa.compute.struct_field(g, "parts") if not isinstance(g, pa.ChunkedArray) else pa.compute.struct_field(g.combine_chunks(), "parts")
+
+    def edges(g: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        xy, start, row, _ = rings_of(parts(g))
+        n = np.diff(np.append(start, len(xy)))
+        per = np.bincount(row, weights=n, minlength=len(g)).astype(np.int64) if len(n) else np.zeros(len(g), np.int64)
+        e = np.concatenate([xy, xy[_next(start, n)]], axis=1) if len(n) else np.empty((0, 4))
+        area = np.abs(np.bincount(row, weights=twice_signed(xy, start, n), minlength=len(g))) / 2 if len(n) else np.zeros(len(g))
+        return e, np.cumsum(per) - per, per, area
+
+    @F.arrow_udf(T.DoubleType())
+    def geo_area(g: pa.Array) -> pa.Array:
+        return pa.array(edges(g)[3], pa.float64())
+
+    @F.arrow_udf(BOX)
+    def geo_bbox(g: pa.Array) -> pa.Array:
+        e, start, n, _ = edges(g)
+        some, first = n > 0, start[n > 0]
+        box = np.zeros((len(g), 4))
+        if some.any():
+            box[some] = np.concatenate([np.minimum.reduceat(e[:, :2], first), np.maximum.reduceat(e[:, :2], first)], axis=1)
+        return pa.StructArray.from_arrays([pa.array(box[:, i].copy()) for i in range(4)], [f.name for f in BOX.fields], mask=pa.array(~some))
+
+    @F.arrow_udf(T.DoubleType())
+    def geo_intersection_area(a: pa.Array, b: pa.Array) -> pa.Array:
+        (ea, sa, na, _), (eb, sb, nb, _) = edges(a), edges(b)
+        return pa.array(overlap_areas(ea, sa, na, eb, sb, nb), pa.float64())
+
+    @F.arrow_udf(T.DoubleType())
+    def geo_iou(a: pa.Array, b: pa.Array) -> pa.Array:
+        (ea, sa, na, p), (eb, sb, nb, q) = edges(a), edges(b)
+        both = overlap_areas(ea, sa, na, eb, sb, nb)
+        whole = p + q - both
+        return pa.array(np.where(whole > 0, both / np.where(whole > 0, whole, 1.0), 0.0), pa.float64())
+
+    return {"geo_area": geo_area, "geo_bbox": geo_bbox, "geo_intersection_area": geo_intersection_area, "geo_iou": geo_iou}

@@ -75,3 +75,15 @@ def confidence_tier(c) -> F.Column:
 def catalogue(layers: dict[str, str], available: set[str], df_of) -> DataFrame:
     """``id, file, available`` of the served layers."""
     return df_of([(k, v, v in available) for k, v in layers.items()], "id string, file string, available boolean")
+
+
+def endpoints(layers: dict[str, str], available: set[str], chain_head: str, df_of) -> dict[str, DataFrame]:
+    """The service's static answers as tables: health, landing links, conformance, collections and export formats."""
+    health = df_of([("ok", len(available), chain_head)], "status string, artifacts int, audit_chain_head string")
+    links = df_of([(rel, href) for rel, href in (("self", "/"), ("conformance", "/conformance"), ("data", "/collections"), ("service-desc", "/openapi.json"))], "rel string, href string")
+    # The conformance classes of the feature interface.
+    classes = ["core", "geojson", "oas30"]
+    conformance = df_of([(f"http://www.opengis.net/spec/ogcapi-features-1/1.0/conf/{c}",) for c in classes], "conformsTo string")
+    collections = df_of([(k, "http://www.opengis.net/def/crs/OGC/1.3/CRS84", f"/collections/{k}/items") for k in sorted(layers) if layers[k] in available], "id string, crs string, items string")
+    exports = df_of([(k, f, f"/export/{k}.{f}") for k in sorted(layers) if layers[k] in available for f in ("geojson", "csv", "zip")], "id string, format string, href string")
+    return {"health": health, "landing": links, "conformance": conformance, "collections": collections, "exports": exports}

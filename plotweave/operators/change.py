@@ -78,3 +78,8 @@ def summary_lines(events: DataFrame, encroachments: DataFrame) -> DataFrame:
     e = event_counts(events).select(F.format_string("%s: %d structures, %.1f sqm", "kind", "n", "sqm").alias("line"))
     x = encroachments.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("a")).select(F.format_string("encroachment: %d sites, %.1f sqm", "n", "a").alias("line"))
     return e.unionByName(x)
+
+
+def listed(events: DataFrame, by: str) -> DataFrame:
+    """Events by the size of a change, encroachments by their area: largest first, ties by fid."""
+    return events.orderBy(F.desc(F.abs(F.col(by))), "fid")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..common import cut, uncut
+from .blocking import nearest
 
 MAX_TRAIN, MAX_CANDIDATES, JITTER = 600, 2_500, 1e-8
 POINT_COST, RESURVEY_KM2 = 5_750.0, 56_725.0
@@ -194,3 +195,31 @@ def uncertainty_grid(parcels: DataFrame, model: Uncertainty, observed: np.ndarra
     at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * F.col(i) / (cells - 1)
     d = axis.select("i", "j", at("x0", "x1", "i").alias("x"), at("y0", "y1", "j").alias("y"))
     return model.posterior(d, observed).select("i", "j", "x", "y", F.lit(float(np.sqrt(model.signal))).alias("before"), F.sqrt("variance").alias("after"))
+
+
+def achieved_rmse(model: Uncertainty, control: np.ndarray, pairs: DataFrame) -> float:
+    """What remains of known displacements (x, y, rx, ry) once the posterior mean of those at the control points is taken off.
+
+    Each control point takes the displacement of the pair nearest to it. NaN
+    under three points or without pairs.
+    """
+    if len(control) < 3:
+        return float("nan")
+    spark = pairs.sparkSession
+    at = spark.createDataFrame([(f"{i:06d}", float(x), float(y)) for i, (x, y) in enumerate(control)], "fid string, x double, y double")
+    p = cut(pairs.select("x", "y", "rx", "ry").na.drop().withColumn("fid", F.concat_ws(",", "x", "y")))
+    near = nearest(at, p, 1, 50.0).select("src", F.col("tgt").alias("fid")).join(p.groupBy("fid").agg(F.min(F.struct("x", "y", "rx", "ry")).alias("r")), "fid")
+    own = np.array([tuple(r["r"]) for r in near.select("r").distinct().orderBy("r").collect()], float).reshape(-1, 4)
+    if len(own) < 3:
+        return float("nan")
+    d = model.posterior(p, own[:, :2], own[:, 2:])
+    got = d.agg(F.sqrt(F.avg(F.pow(F.col("rx") - F.col("mx"), 2) + F.pow(F.col("ry") - F.col("my"), 2)))).head()[0]
+    uncut(p)
+    return float("nan") if got is None else float(got)
+
+
+def validate_plan(model: Uncertainty, plan: np.ndarray, candidates: DataFrame, pairs: DataFrame, seed: int = 0) -> dict[str, float]:
+    """Root mean square displacement before, after the plan's points, and after as many random candidates."""
+    before = pairs.agg(F.sqrt(F.avg(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry")))).head()[0]
+    random = np.array(sampled(candidates.select("x", "y"), len(plan), seed).collect(), float).reshape(-1, 2)
+    return {"before": before, "achieved": achieved_rmse(model, plan, pairs), "random": achieved_rmse(model, random, pairs)}

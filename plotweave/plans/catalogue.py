@@ -350,7 +350,6 @@ def unit_inference(spark, d):
     return schema_match.infer_area_unit(p).select("unit", "scale", r6("confidence", "confidence"), "n")
 
 
-@query()
 def schema_scores(spark, d):
     return schema_match.match_scores(table(spark, d, "parcels_legacy"), ["KHSRA_NUM", "KHATEDAR_NM", "AREA_BIGHA", "LU_CODE", "TENURE_TYP", "WARD", "PARCEL_UID"])
 
@@ -497,7 +496,10 @@ def csv_export_rows(spark, d):
     return writers.csv_rows(source_layer(spark, d).select("fid", "k", "geom")).select("k", r6("lon", "lon", 7), r6("lat", "lat", 7))
 
 
-@query()
+GEOJSON = """'{"type":"Feature","id":"'||lpad(CAST(k AS VARCHAR),12,'0')||'","geometry":{"type":"Polygon","coordinates":[[['||x||','||y||'],['||(x+w)||','||y||'],['||(x+w)||','||(y+h)||'],['||x||','||(y+h)||'],['||x||','||y||']]]},"properties":{"k":'||k"""
+
+
+@query(f"""WITH {BOXES} SELECT lpad(CAST(k AS VARCHAR),12,'0') AS fid, {GEOJSON}||',"height_m":'||price||'}}}}' AS feature FROM src""")
 def geojson_rows(spark, d):
     return writers.geojson_rows(source_layer(spark, d))
 
