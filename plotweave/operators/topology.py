@@ -6,13 +6,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..common import GEOM, cut
-from ..functions import geometry as g, overlay as o
-from ..functions.kernel import overlap_areas
+from ..functions import geometry as g, kernel, overlay as o
 from .blocking import pair_overlap, prepared
 from .graph import components
-from .spatial import grid_pairs
+from .spatial import cells, grid_pairs
 
 SNAP, MAX_GAP, LEAST_OVERLAP, LEAST_HOLE, SLIVER = 0.60, 60.0, 1e-6, 0.05, 0.18
 
@@ -112,50 +112,83 @@ def snap_vertices(layer: DataFrame, tol: float = SNAP) -> DataFrame:
     return out.withColumn("geom", F.when(F.col("ok"), F.struct(F.col("geom.kind").alias("kind"), F.col("parts").alias("parts"))).otherwise(F.col("geom"))).drop("parts", "ok")
 
 
-def _resolve(p: pd.DataFrame, max_gap: float) -> pd.DataFrame:
-    """Overlaps then gaps of one group of touching features, in order of pos."""
-    p = p.sort_values("pos").reset_index(drop=True)
-    sets = [o.repair(o.to_parts(x)) for x in p["geom"]]
-    rank = p["priority"].to_numpy(float)
+def _by_group(df: DataFrame, keys: list[str], fn, schema: str | T.StructType) -> DataFrame:
+    """Rows that ``fn`` makes of each group's columns as lists; nested geometries pass as they are."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = fn({c: t.column(c).to_pylist() for c in t.column_names})
+        kinds = to_arrow_schema(schema)
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k.type) for i, k in enumerate(kinds)], schema=kinds)
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
+OUTLINE = T.StructType([T.StructField("fid", T.StringType()), T.StructField("geom", GEOM)])
+
+
+def without_overlaps(layer: DataFrame) -> DataFrame:
+    """``fid, geom`` of a layer (fid, geom, priority): each outline less those of greater priority that it overlaps.
+
+    Of equal priorities the smaller fid keeps. A feature is solved by itself from
+    the outlines that reach it, in order of fid, so no group is gathered however
+    far features hang together; one that would take all that is left is passed
+    over. The whole layer's overlaps are found by the grid join.
+    """
+    p = overlap_pairs(layer)
+    side = lambda n: layer.select(F.col("fid").alias(n), F.col("priority").alias(f"{n}_rank"))
+    p = p.join(side("a"), "a").join(side("b"), "b").withColumn("first", F.col("a_rank") >= F.col("b_rank"))
+    p = p.select(F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("fid"), F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("keeper"))
+    pairs = p.join(layer.select(F.col("fid").alias("keeper"), F.col("geom").alias("other")), "keeper").join(layer.select("fid", "geom"), "fid")
+
+    def run(d: dict) -> list[tuple]:
+        own = o.repair(o.to_parts(d["geom"][0]))
+        for _, x in sorted(zip(d["keeper"], d["other"], strict=True), key=lambda k: k[0]):
+            left = o.difference(own, o.repair(o.to_parts(x)))
+            own = left if o.area(left) > 0 else own
+        return [(d["fid"][0], o.to_geom(own))]
+
+    return layer.select("fid", "geom").join(p.select("fid").distinct(), "fid", "left_anti").unionByName(_by_group(pairs, ["fid"], run, OUTLINE))
+
+
+#: Metres: side of a tile in which gaps are looked for, and how far a gap may reach beyond it.
+TILE, HALO = 240.0, 60.0
+
+
+def gap_fillers(layer: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
+    """``fid, hole, size``: gaps between the features of a layer up to ``max_gap`` and the feature that takes each.
+
+    Gaps are holes of the union. Space is cut into tiles; a tile unites all
+    features that come within HALO of it and owns the holes whose lowest left
+    corner it holds, so a task's size doesn't depend on how far features hang
+    together. A hole that reaches out of the tile and its margin is left open. The
+    feature that reaches most of a hole takes it, of equal ones the first by fid.
+    """
+    d = layer.select("fid", "geom", kernel.outline("geom").getField("bbox").alias("bbox")).filter("bbox is not null")
+    d = d.withColumn("tile", F.explode(cells(F.col("bbox"), TILE, HALO))).select("fid", "geom", "tile.i", "tile.j")
     box = lambda s: (min(r[:, 0].min() for q in s for r in q), min(r[:, 1].min() for q in s for r in q), max(r[:, 0].max() for q in s for r in q), max(r[:, 1].max() for q in s for r in q)) if s else None
-    for i in range(len(sets)):
-        for j in range(i + 1, len(sets)):
-            a, b = box(sets[i]), box(sets[j])
-            if not a or not b or a[0] > b[2] or b[0] > a[2] or a[1] > b[3] or b[1] > a[3]:
-                continue
-            ea, eb = _edges(sets[i]), _edges(sets[j])
-            one = np.zeros(1, int)
-            if overlap_areas(ea, one, np.array([len(ea)]), eb, one, np.array([len(eb)]))[0] <= LEAST_OVERLAP:
-                continue
-            keep, give = (i, j) if rank[i] >= rank[j] else (j, i)
-            left = o.difference(sets[give], sets[keep])
-            if o.area(left) > 0:
-                sets[give] = left
-    filled = kept = 0
-    fill_area = 0.0
-    for h in o.holes_of(o.union_all([s for s in sets if s]), LEAST_HOLE):
-        hole = [[h[::-1]]]
-        size = o.area(hole)
-        if size > max_gap:
-            kept += 1
-            continue
-        hb = box(hole)
-        close = [b is not None and b[0] <= hb[2] + 0.1 and b[2] >= hb[0] - 0.1 and b[1] <= hb[3] + 0.1 and b[3] >= hb[1] - 0.1 for b in map(box, sets)]
-        reach = [o.area(o.intersection(_grown(s, 0.05), hole)) if near else 0.0 for s, near in zip(sets, close, strict=True)]
-        if max(reach, default=0.0) > 0:
-            i = reach.index(max(reach))
-            sets[i] = o.union(sets[i], hole)
-            filled, fill_area = filled + 1, fill_area + size
-    out = p[["fid"]].copy()
-    out["geom"] = [o.to_geom(o.largest(s)) for s in sets]
-    out["filled"], out["kept_holes"], out["fill_area"] = filled, kept, fill_area
-    return out
 
+    def run(p: dict) -> list[tuple]:
+        i, j = p["i"][0], p["j"][0]
+        order = sorted(range(len(p["fid"])), key=lambda k: p["fid"][k])
+        lo, hi = np.array([i, j]) * TILE - HALO, np.array([i + 1, j + 1]) * TILE + HALO
+        sets = [o.repair(o.to_parts(p["geom"][k])) for k in order]
+        boxes = [box(s) for s in sets]
+        out = []
+        for h in o.holes_of(o.union_all([s for s in sets if s]), LEAST_HOLE):
+            hole = [[h[::-1]]]
+            size, hb = o.area(hole), box(hole)
+            corner = h[np.lexsort((h[:, 1], h[:, 0]))[0]]
+            mine = (np.floor(corner / TILE) == (i, j)).all()
+            if not mine or size > max_gap or (h.min(axis=0) < lo).any() or (h.max(axis=0) > hi).any():
+                continue
+            near = [b is not None and b[0] <= hb[2] + 0.1 and b[2] >= hb[0] - 0.1 and b[1] <= hb[3] + 0.1 and b[3] >= hb[1] - 0.1 for b in boxes]
+            reach = [o.area(o.intersection(_grown(s, 0.05), hole)) if n else 0.0 for s, n in zip(sets, near, strict=True)]
+            if max(reach, default=0.0) > 0:
+                out.append((p["fid"][order[reach.index(max(reach))]], o.to_geom(hole), float(size)))
+        return out
 
-def _edges(s) -> np.ndarray:
-    """Directed edges of a set, outer rings counter-clockwise and holes clockwise."""
-    turn = lambda r, i: r if (o.ring_area(r) > 0) == (i == 0) else r[::-1]
-    return o._segments([[turn(r, i) for i, r in enumerate(q)] for q in s])
+    return _by_group(d, ["i", "j"], run, T.StructType([T.StructField("fid", T.StringType()), T.StructField("hole", GEOM), T.StructField("size", T.DoubleType())]))
 
 
 def _grown(s, r: float):
@@ -175,18 +208,20 @@ def clean_layer(layer: DataFrame, snap: float = SNAP, max_gap: float = MAX_GAP,
     """Layer with repaired, snapped, non-overlapping outlines and small gaps filled; bigger holes stay.
 
     An overlap stays with the feature of greater priority (its area, if none is
-    given), of equal ones with the earlier. Groups of touching features are
-    independent and solved apart, in the order of fid. A feature that vanishes
-    has null geometry.
+    given), of equal ones with the earlier fid. A feature that vanishes has null
+    geometry; one without usable outline is left out.
     """
     d = layer.withColumn("geom", make_valid("geom"))
     d = snap_vertices(d.filter("geom is not null"), snap) if snap else d.filter("geom is not null")
     d = cut(d.withColumn("geom", make_valid("geom")).filter("geom is not null"))
-    d = d.withColumn("priority", F.col(priority).cast("double") if priority else g.edges_area(g.edges("geom")))
-    grouped = d.select("fid", "geom", "priority", F.col("fid").alias("pos")).join(touching(d), "fid")
-    schema = T.StructType([T.StructField("fid", T.StringType()), T.StructField("geom", GEOM), T.StructField("filled", T.LongType()), T.StructField("kept_holes", T.LongType()), T.StructField("fill_area", T.DoubleType())])
-    fixed = grouped.groupBy("comp").applyInPandas(lambda p: _resolve(p, max_gap), schema)
-    return layer.drop("geom").join(fixed.select("fid", "geom"), "fid")
+    rank = F.col(priority).cast("double") if priority else kernel.outline("geom").getField("area")
+    d = cut(without_overlaps(d.select("fid", "geom", rank.alias("priority"))))
+    holes = cut(gap_fillers(d, max_gap))
+
+    fill = lambda p: [(p["fid"][0], o.to_geom(o.largest(o.union_all([o.repair(o.to_parts(x)) for x in [p["geom"][0], *p["hole"]]]))))]
+    filled = _by_group(d.join(holes.select("fid", "hole"), "fid"), ["fid"], fill, OUTLINE)
+    rest = d.join(holes.select("fid").distinct(), "fid", "left_anti").withColumn("geom", make_valid("geom"))
+    return layer.drop("geom").join(rest.unionByName(filled), "fid")
 
 
 def area_ledger(before: DataFrame, after: DataFrame) -> DataFrame:
