@@ -195,13 +195,14 @@ def column_fields(cells: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 @finished
-def consistent_records(records: DataFrame) -> DataFrame:
+def consistent_records(records: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
     """One consistent table of all whole lines: ``record_id, file_id, source``, one column a field, and ``other``.
 
     ``other`` maps the chains that hold no known field, by their names, to the
-    values; null if the line has none. Keys go through the chained renames, values through the fields' casts;
-    absent keys and values that don't cast are null. A number keeps its unit
-    text out: "0.4 bigha" casts as 0.4.
+    values; null if the line has none. Keys go through the chained renames, absent
+    keys through the defaults (by field, as text; null without one), values
+    through the fields' casts: a JSON null stays null, and so does a value that
+    doesn't cast. A number keeps its unit text out: "0.4 bigha" casts as 0.4.
     """
     base = records.select("source", "file_id", "as_of", "payload", "record_id")
     cells = cut(cells_of(spread(base)))
@@ -209,8 +210,11 @@ def consistent_records(records: DataFrame) -> DataFrame:
     lines = base.filter(whole(F.expr("try_parse_json(payload)"))).select("record_id", "source", "file_id", F.xxhash64("payload").alias("line"))
     long = cells.join(fields, ["source", "file_id", "column"])
     other = F.when(F.col("field").isNull() & F.col("value").isNotNull(), F.struct("name", "value"))
-    wide = long.groupBy("source", "file_id", "line").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELD_WORDS], F.collect_list(other).alias("other"))
-    out = lines.join(wide, ["source", "file_id", "line"], "left").withColumn("other", F.when(F.size("other") > 0, F.map_from_entries("other")))
+    wide = long.groupBy("source", "file_id", "line").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELD_WORDS], F.collect_list(other).alias("other"), F.collect_set("field").alias("there"))
+    out = lines.join(wide, ["source", "file_id", "line"], "left")
+    for f, v in (defaults or {}).items():
+        out = out.withColumn(f, F.when(F.coalesce(F.array_contains("there", f), F.lit(False)), F.col(f)).otherwise(F.lit(v)))
+    out = out.withColumn("other", F.when(F.size("other") > 0, F.map_from_entries("other")))
 
     def cast(f: str) -> Column:
         t = FIELD_TYPES.get(f)

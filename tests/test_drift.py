@@ -27,6 +27,12 @@ def test_long_chains_lead_both_ways(spark):
     assert rec[21, 3]["other"] == {"extra": "e3"} and rec[22, 0]["other"] == {"only": "this"} and rec[22, 1]["other"] is None
 
 
+def test_defaults_fill_absent_keys_only(spark):
+    d = lines(spark, [['{"owner": "Asha", "irrigated": null}', '{"owner": "Bimal"}', '{"owner": "Charu", "irrigated": "yes"}', "{}"]])
+    rec = {r["record_id"]: r for r in drift.consistent_records(d, {"irrigated": "no", "ward": "7"}).collect()}
+    assert [rec[100_000 + n]["irrigated"] for n in range(4)] == [None, False, True, False] and {r["ward"] for r in rec.values()} == {7}
+
+
 def test_unknown_chain_goes_by_its_first_key(spark):
     d = lines(spark, [[f'{{"aa": "v{n}"}}' for n in range(4)], [f'{{"bb": "v{n}"}}' for n in range(4)], [f'{{"bb": "v{n}", "aa": "w{n}"}}' for n in range(4)]])
     rec = {r["record_id"]: r["other"] for r in drift.consistent_records(d).collect()}
