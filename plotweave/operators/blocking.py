@@ -120,6 +120,11 @@ def _nearest_small(s: DataFrame, tg: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows if m else 0, 500):
                 c = b.slice(lo, 500)
+                if m == 1:  # of equal ones the first, which has the smaller name
+                    x, y = np.asarray(c.column(1), dtype=float), np.asarray(c.column(2), dtype=float)
+                    j = ((x[:, None] - at[:, 0]) ** 2 + (y[:, None] - at[:, 1]) ** 2).argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([c.column(0), names.take(pa.array(j)), pa.array(np.hypot(x - at[j, 0], y - at[j, 1])), pa.array(np.ones(len(j), np.int32))], names=["src", "tgt", "dist", "rank"])
+                    continue
                 d = np.hypot(np.asarray(c.column(1), dtype=float)[:, None] - at[:, 0], np.asarray(c.column(2), dtype=float)[:, None] - at[:, 1])
                 # every target at the k-th distance takes part, so that ties fall to the smaller name
                 last = np.partition(d, m - 1, axis=1)[:, m - 1]
@@ -131,7 +136,7 @@ def _nearest_small(s: DataFrame, tg: DataFrame, k: int) -> DataFrame:
                 i, j, rank = i[keep], j[keep], rank[keep]
                 yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(i)), names.take(pa.array(j)), pa.array(d[i, j]), pa.array(rank.astype(np.int32))], names=["src", "tgt", "dist", "rank"])
 
-    return s.mapInArrow(run, "src string, tgt string, dist double, rank int")
+    return spread(s).mapInArrow(run, "src string, tgt string, dist double, rank int")
 
 
 def nearest(src: DataFrame, tgt: DataFrame, k: int, cell: float, small: int = SMALL_TARGETS) -> DataFrame:
