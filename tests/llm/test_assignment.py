@@ -61,7 +61,7 @@ def test_many_components_and_lone_pairs(spark):
 
 
 def test_auction_stays_within_its_bound(spark):
-    l, r, gain = planted(60, 3)
+    l, r, gain = planted(12, 3)
     pairs = table(spark, l, r, gain).withColumnRenamed("odds", "gain")
     got, n = total(pairs, resolution.auction(pairs, 0.5), "gain")
-    assert greatest(l, r, gain) - 60 * 0.5 - 1e-9 <= got <= greatest(l, r, gain) + 1e-9
+    assert greatest(l, r, gain) - 12 * 0.5 - 1e-9 <= got <= greatest(l, r, gain) + 1e-9
