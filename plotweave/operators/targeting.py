@@ -8,16 +8,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..common import cut, uncut
+from ..common import cut, finished, global_rank, uncut
 from .blocking import nearest
 
 MAX_TRAIN, MAX_CANDIDATES, JITTER = 600, 2_500, 1e-8
 POINT_COST, RESURVEY_KM2 = 5_750.0, 56_725.0
+#: Rows of a sample that a single task may hold; a larger one is ranked range by range.
+TASK_SAMPLE = 20_000
 
 
+@finished
 def sampled(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """At most n rows by a seeded hash of all columns: the same ones wherever the rows lie."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns)).limit(n)
+    """At most n rows by a seeded hash of all columns: the same ones wherever the rows lie.
+
+    Order with a limit makes room for 2n rows in each task before it reads one
+    and ends in a single task, so it serves small samples only.
+    """
+    by = F.xxhash64(F.lit(seed), *df.columns)
+    if n <= TASK_SAMPLE:
+        return df.orderBy(by).limit(n)
+    return df if df.count() <= n else global_rank(df, [by], "__rank").filter(F.col("__rank") <= n).drop("__rank")
 
 
 def nelder_mead(f, x0: np.ndarray, rounds: int = 400, step: float = 0.5) -> np.ndarray:
