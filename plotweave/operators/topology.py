@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..common import GEOM, cut
+from ..common import GEOM, cut, spread
 from ..functions import geometry as g, kernel, overlay as o
 from .blocking import pair_overlap, prepared
 from .graph import components
@@ -20,17 +20,14 @@ SNAP, MAX_GAP, LEAST_OVERLAP, LEAST_HOLE, SLIVER = 0.60, 60.0, 1e-6, 0.05, 0.18
 @F.arrow_udf(GEOM)
 def make_valid(geom: pa.Array) -> pa.Array:
     """Even-odd repair, the largest part kept; null and empty geometries come back null."""
-    return pa.array([o.to_geom(o.largest(o.repair(o.to_parts(x)))) for x in geom.to_pylist()], type=geom.type)
+    return pa.array([o.to_geom(o.largest(x)) for x in o.repair_all([o.to_parts(x) for x in geom.to_pylist()])], type=geom.type)
 
 
 @F.arrow_udf(T.BooleanType())
 def is_simple(geom: pa.Array) -> pa.Array:
     """True if no edges cross: the even-odd area equals the absolute area of the rings."""
-    out = []
-    for x in geom.to_pylist():
-        p = o.to_parts(x)
-        out.append(bool(p) and abs(o.area(o.repair(p)) - o.area(p)) < 1e-6 * max(1.0, o.area(p)))
-    return pa.array(out)
+    parts = [o.to_parts(x) for x in geom.to_pylist()]
+    return pa.array([bool(p) and abs(o.area(r) - o.area(p)) < 1e-6 * max(1.0, o.area(p)) for p, r in zip(parts, o.repair_all(parts), strict=True)], pa.bool_())
 
 
 def overlap_pairs(layer: DataFrame) -> DataFrame:
@@ -54,7 +51,7 @@ def diagnose(layer: DataFrame) -> DataFrame:
 
     Holes are those of the union of features that touch.
     """
-    m = g.measured(layer.select("fid", "geom"), "geom").withColumn("simple", is_simple("geom"))
+    m = g.measured(spread(layer.select("fid", "geom")), "geom").withColumn("simple", is_simple("geom"))
     thin = g.compactness("area", "perimeter") < SLIVER
     a = m.agg(F.count(F.lit(1)).alias("features"), F.sum((~F.col("simple")).cast("int")).alias("invalid"), F.sum(thin.cast("int")).alias("slivers"), F.sum("area").alias("summed_area"))
     v = overlap_pairs(layer).agg(F.count(F.lit(1)).alias("overlaps"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("overlap_area"))
@@ -66,12 +63,12 @@ def union_footprints(layer: DataFrame) -> DataFrame:
     """``comp, area, holes, hole_area`` of the union of each group of touching features."""
     d = layer.select("fid", "geom").join(touching(layer), "fid")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        u = o.union_all([o.repair(o.to_parts(x)) for x in p.sort_values("fid")["geom"]])
+    def run(p: dict) -> list[tuple]:
+        u = o.union_all([r for _, r in sorted(zip(p["fid"], p["geom"], strict=True), key=lambda k: k[0])])
         hs = o.holes_of(u, LEAST_HOLE)
-        return pd.DataFrame([(p["comp"].iat[0], o.area(u), len(hs), float(sum(abs(o.ring_area(h)) for h in hs)))], columns=["comp", "area", "holes", "hole_area"])
+        return [(p["comp"][0], o.area(u), len(hs), float(sum(abs(o.ring_area(h)) for h in hs)))]
 
-    return d.groupBy("comp").applyInPandas(run, "comp string, area double, holes long, hole_area double")
+    return _by_group(d, ["comp"], run, "comp string, area double, holes long, hole_area double", ("geom",))
 
 
 def dissolve(layer: DataFrame, key: str) -> DataFrame:
@@ -112,16 +109,33 @@ def snap_vertices(layer: DataFrame, tol: float = SNAP) -> DataFrame:
     return out.withColumn("geom", F.when(F.col("ok"), F.struct(F.col("geom.kind").alias("kind"), F.col("parts").alias("parts"))).otherwise(F.col("geom"))).drop("parts", "ok")
 
 
-def _by_group(df: DataFrame, keys: list[str], fn, schema: str | T.StructType) -> DataFrame:
-    """Rows that ``fn`` makes of each group's columns as lists; nested geometries pass as they are."""
+#: Buckets of groups for each shuffle partition: groups are small and many, so several travel together.
+BUCKETS = 32
+
+
+def _by_group(df: DataFrame, keys: list[str], fn, schema: str | T.StructType, outlines: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that ``fn`` makes of each group's columns as lists; ``outlines`` come repaired, other columns as they are.
+
+    Groups are solved a bucket at a time, so that a small one costs no call of
+    its own and outlines are repaired by whole batches.
+    """
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    n = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(t: pa.Table) -> pa.Table:
-        rows = fn({c: t.column(c).to_pylist() for c in t.column_names})
+        cols = {c: t.column(c).to_pylist() for c in t.column_names if c != "__bucket"}
+        for c in outlines:
+            cols[c] = o.repair_all([o.to_parts(x) for x in cols[c]])
+        groups: dict[tuple, list[int]] = {}
+        for i, k in enumerate(zip(*[cols[k] for k in keys], strict=True)):
+            groups.setdefault(k, []).append(i)
+        rows = [r for own in groups.values() for r in fn({c: [v[i] for i in own] for c, v in cols.items()})]
         kinds = to_arrow_schema(schema)
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k.type) for i, k in enumerate(kinds)], schema=kinds)
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    # a given number of partitions, or few bytes of much work would be joined to one task
+    parts = max(n // BUCKETS, df.sparkSession.sparkContext.defaultParallelism)
+    return df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(n))).repartition(parts, "__bucket").groupBy("__bucket").applyInArrow(run, schema)
 
 
 OUTLINE = T.StructType([T.StructField("fid", T.StringType()), T.StructField("geom", GEOM)])
@@ -142,13 +156,13 @@ def without_overlaps(layer: DataFrame) -> DataFrame:
     pairs = p.join(layer.select(F.col("fid").alias("keeper"), F.col("geom").alias("other")), "keeper").join(layer.select("fid", "geom"), "fid")
 
     def run(d: dict) -> list[tuple]:
-        own = o.repair(o.to_parts(d["geom"][0]))
+        own = d["geom"][0]
         for _, x in sorted(zip(d["keeper"], d["other"], strict=True), key=lambda k: k[0]):
-            left = o.difference(own, o.repair(o.to_parts(x)))
+            left = o.difference(own, x)
             own = left if o.area(left) > 0 else own
         return [(d["fid"][0], o.to_geom(own))]
 
-    return layer.select("fid", "geom").join(p.select("fid").distinct(), "fid", "left_anti").unionByName(_by_group(pairs, ["fid"], run, OUTLINE))
+    return layer.select("fid", "geom").join(p.select("fid").distinct(), "fid", "left_anti").unionByName(_by_group(pairs, ["fid"], run, OUTLINE, ("geom", "other")))
 
 
 #: Metres: side of a tile in which gaps are looked for, and how far a gap may reach beyond it.
@@ -166,13 +180,13 @@ def gap_fillers(layer: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
     """
     d = layer.select("fid", "geom", kernel.outline("geom").getField("bbox").alias("bbox")).filter("bbox is not null")
     d = d.withColumn("tile", F.explode(cells(F.col("bbox"), TILE, HALO))).select("fid", "geom", "tile.i", "tile.j")
-    box = lambda s: (min(r[:, 0].min() for q in s for r in q), min(r[:, 1].min() for q in s for r in q), max(r[:, 0].max() for q in s for r in q), max(r[:, 1].max() for q in s for r in q)) if s else None
+    box = lambda s: o.box(s) if s else None
 
     def run(p: dict) -> list[tuple]:
         i, j = p["i"][0], p["j"][0]
         order = sorted(range(len(p["fid"])), key=lambda k: p["fid"][k])
         lo, hi = np.array([i, j]) * TILE - HALO, np.array([i + 1, j + 1]) * TILE + HALO
-        sets = [o.repair(o.to_parts(p["geom"][k])) for k in order]
+        sets = [p["geom"][k] for k in order]
         boxes = [box(s) for s in sets]
         out = []
         for h in o.holes_of(o.union_all([s for s in sets if s]), LEAST_HOLE):
@@ -188,7 +202,7 @@ def gap_fillers(layer: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
                 out.append((p["fid"][order[reach.index(max(reach))]], o.to_geom(hole), float(size)))
         return out
 
-    return _by_group(d, ["i", "j"], run, T.StructType([T.StructField("fid", T.StringType()), T.StructField("hole", GEOM), T.StructField("size", T.DoubleType())]))
+    return _by_group(d, ["i", "j"], run, T.StructType([T.StructField("fid", T.StringType()), T.StructField("hole", GEOM), T.StructField("size", T.DoubleType())]), ("geom",))
 
 
 def _grown(s, r: float):
@@ -211,16 +225,16 @@ def clean_layer(layer: DataFrame, snap: float = SNAP, max_gap: float = MAX_GAP,
     given), of equal ones with the earlier fid. A feature that vanishes has null
     geometry; one without usable outline is left out.
     """
-    d = layer.withColumn("geom", make_valid("geom"))
+    d = spread(layer).withColumn("geom", make_valid("geom"))
     d = snap_vertices(d.filter("geom is not null"), snap) if snap else d.filter("geom is not null")
     d = cut(d.withColumn("geom", make_valid("geom")).filter("geom is not null"))
     rank = F.col(priority).cast("double") if priority else kernel.outline("geom").getField("area")
     d = cut(without_overlaps(d.select("fid", "geom", rank.alias("priority"))))
     holes = cut(gap_fillers(d, max_gap))
 
-    fill = lambda p: [(p["fid"][0], o.to_geom(o.largest(o.union_all([o.repair(o.to_parts(x)) for x in [p["geom"][0], *p["hole"]]]))))]
-    filled = _by_group(d.join(holes.select("fid", "hole"), "fid"), ["fid"], fill, OUTLINE)
-    rest = d.join(holes.select("fid").distinct(), "fid", "left_anti").withColumn("geom", make_valid("geom"))
+    fill = lambda p: [(p["fid"][0], o.to_geom(o.largest(o.union_all([p["geom"][0], *p["hole"]]))))]
+    filled = _by_group(d.join(holes.select("fid", "hole"), "fid"), ["fid"], fill, OUTLINE, ("geom", "hole"))
+    rest = spread(d.join(holes.select("fid").distinct(), "fid", "left_anti")).withColumn("geom", make_valid("geom"))
     return layer.drop("geom").join(rest.unionByName(filled), "fid")
 
 
